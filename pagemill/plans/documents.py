@@ -43,17 +43,18 @@ def build_documents(
     seed_domain: str | None = None,
     link_scope: str | None = None,
     key: str = "page_id",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Pages to documents, one per page with text.
+    """Pages to documents, one per page with text; ``keep`` passes parsed columns on.
 
     The parsed rows are written once (checkpoint folder) because the language
     step reads them a second time.
     """
     parsed = parse_pages(pages, extractor, seed_domain, link_scope, key)
     if profile is None:
-        return assemble_documents(parsed, None, key)
+        return assemble_documents(parsed, None, key, keep)
     parsed = cut_lineage(parsed)
-    return assemble_documents(parsed, detect_language(parsed, profile, key), key)
+    return assemble_documents(parsed, detect_language(parsed, profile, key), key, keep)
 
 
 def run_expansion(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.functions.text import SPACE
+from pagemill.functions.text import SPACE, bind
 from pagemill.operators.upsert import last_by_key
 from pagemill.schema import DOCUMENT_SCHEMA, REQUIRED_KEYS
 
@@ -21,10 +21,6 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
-def _has_key(name: str) -> Column:
-    return F.coalesce(F.array_contains(F.json_object_keys("value"), name), F.lit(False))
-
-
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Judge raw lines ``(value, ...)``: adds the document fields and ``skip_reason``.
 
@@ -33,25 +29,32 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     Blank lines vanish.
     """
     schema = T.StructType([*DOCUMENT_SCHEMA.fields, T.StructField("_corrupt", T.StringType())])
-    parsed = lines.where(F.col("value").rlike(f"[^{SPACE}]")).withColumn(
-        "doc", F.from_json("value", schema, _PERMISSIVE)
-    )
-    complete = F.lit(True)
-    for name in REQUIRED_KEYS:
-        complete = complete & _has_key(name)
-    is_object = F.ltrim("value").startswith("{") & F.col("doc._corrupt").isNull()
     defaults = {
         "text_to_html_ratio": F.lit(0.0),
         "links_out_internal": F.array().cast("array<string>"),
     }
-    fields = [
-        F.when(~_has_key(name), defaults[name]).otherwise(F.col(f"doc.{name}")).alias(name)
-        if name in defaults
-        else F.col(f"doc.{name}").alias(name)
-        for name in DOCUMENT_SCHEMA.names
-    ]
-    reason = F.when(~is_object, "malformed").when(~complete, "missing_key")
-    return parsed.select(*lines.columns, *fields, F.coalesce(reason, F.lit(None)).alias("skip_reason"))
+
+    def judged(line: Column) -> Column:
+        value, doc, keys = line["value"], line["doc"], line["keys"]
+        has = lambda name: F.coalesce(F.array_contains(keys, name), F.lit(False))
+        missing = F.size(F.array_except(F.array(*[F.lit(k) for k in REQUIRED_KEYS]), F.coalesce(keys, F.array().cast("array<string>")))) > 0
+        broken = ~F.ltrim(value).startswith("{") | doc["_corrupt"].isNotNull()
+        fields = [
+            (F.when(~has(name), defaults[name]).otherwise(doc[name]) if name in defaults else doc[name]).alias(name)
+            for name in DOCUMENT_SCHEMA.names
+        ]
+        reason = F.when(broken, F.lit("malformed")).when(missing, F.lit("missing_key"))
+        return F.when(value.rlike(f"[^{SPACE}]"), F.array(F.struct(*fields, reason.alias("skip_reason"))))
+
+    # Bound once per line: each line is parsed a single time, whatever is read of it.
+    once = bind(
+        F.col("value"),
+        lambda v: bind(
+            F.struct(v.alias("value"), F.from_json(v, schema, _PERMISSIVE).alias("doc"), F.json_object_keys(v).alias("keys")),
+            judged,
+        ),
+    )
+    return lines.select(*lines.columns, F.inline(once))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

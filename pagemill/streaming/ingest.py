@@ -19,9 +19,9 @@ from pagemill.sources.collection import path_exists
 
 def write_batch(pages: DataFrame, batch_id: int, store: str, **build) -> None:
     """Documents of one batch of pages, idempotent per batch id."""
-    rows = build_documents(pages, **build)
-    # Two pages of a batch may share a canonical URL: the later fetch stands.
-    newest = last_by_key(rows.withColumn("version", F.struct("fetched_at", "title", "body_text")))
+    rows = build_documents(pages, keep=("page_id",), **build)
+    # Pages of a batch may share a canonical URL: the latest fetch, then id, stands.
+    newest = last_by_key(rows.withColumn("version", F.struct("fetched_at", "page_id")))
     newest.select(*DOCUMENT_SCHEMA.names).write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
 
 
