@@ -47,18 +47,18 @@ def admit_urls(
     The first occurrence by ``order`` is judged by the rules, later ones and URLs
     in ``seen`` are duplicates, whatever the rules say.
     """
-    # Aggregated before the join, so a URL linked from everywhere stays cheap.
-    first = urls.groupBy("url").agg(F.min(order).alias("_first"))
+    first = urls.groupBy("url").agg(F.min(order).alias(order))
     if seen is not None:
         first = first.join(seen.select("url").distinct().withColumn("_seen", F.lit(True)), "url", "left")
     else:
         first = first.withColumn("_seen", F.lit(None).cast("boolean"))
-    judged = first.withColumn("_rule", rule_violation(F.col("url"), prefix, regex))
-    return urls.join(judged, "url").select(
+    reason = F.when(F.col("_seen"), "duplicate").otherwise(rule_violation(F.col("url"), prefix, regex))
+    judged = first.select("url", order, F.lit(True).alias("_first"), reason.alias("_reason"))
+    # Only first occurrences find a partner. With the order in the key, the many
+    # occurrences of a popular URL spread over all tasks.
+    return urls.join(judged, ["url", order], "left").select(
         *urls.columns,
-        F.when(F.col("_seen") | (F.col(order) != F.col("_first")), "duplicate")
-        .otherwise(F.col("_rule"))
-        .alias("reject_reason"),
+        F.when(F.col("_first"), F.col("_reason")).otherwise(F.lit("duplicate")).alias("reject_reason"),
     )
 
 

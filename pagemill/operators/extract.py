@@ -20,8 +20,14 @@ from pagemill.operators.elements import elements, tag_rows
 SKIPPED_LINKS = "^(?:mailto:|javascript:|tel:|#)"
 TITLE_SEPARATORS = "[|–—:-]"
 
-META_KEYS = (("name", "description", "description"), ("name", "keywords", "keywords"),
-             ("name", "author", "author"), ("property", "og:title", "og_title"))
+# Output name of a metadata entry and the tags that may hold it.
+META_TAGS = {
+    "description": (("name", "description"),),
+    "keywords": (("name", "keywords"),),
+    "author": (("name", "author"),),
+    "og_title": (("property", "og:title"),),
+}
+MetaTags = dict[str, tuple[tuple[str, str], ...]]
 
 
 def _span(*extra: Column) -> Column:
@@ -33,15 +39,17 @@ def copartitioned(pages: DataFrame, key: str, columns: tuple[str, ...]) -> DataF
     return pages.select(*columns).repartition(key)
 
 
-def page_layout(pages: DataFrame, key: str = "page_id") -> DataFrame:
+def page_layout(pages: DataFrame, key: str = "page_id", meta_tags: MetaTags = META_TAGS) -> DataFrame:
     """One row per page that has any tag: spans needed to cut out its fields."""
     seen = ~F.col("hidden")
-    metas = [
-        F.min(
-            F.when(seen & (F.col(f"meta.{attr}") == name), F.struct("start", F.col("meta.content").alias("content")))
-        ).alias(f"meta_{out}")
-        for attr, name, out in META_KEYS
-    ]
+
+    def first_content(tags: tuple[tuple[str, str], ...]) -> Column:
+        named = F.lit(False)
+        for attr, value in tags:
+            named = named | F.coalesce(F.col(f"meta.{attr}") == value, F.lit(False))
+        return F.min(F.when(seen & named, F.struct("start", F.col("meta.content").alias("content"))))
+
+    metas = [first_content(tags).alias(f"meta_{out}") for out, tags in meta_tags.items()]
     candidate = _span(F.col("parent"), F.col("parent_end"), F.col("selectors"))
     return elements(pages, key).groupBy(key).agg(
         F.sort_array(
@@ -55,27 +63,29 @@ def page_layout(pages: DataFrame, key: str = "page_id") -> DataFrame:
     )
 
 
-def visible_text(page_tokens: Column, cuts: Column) -> Column:
-    """Array of ``(pos, txt)`` for the text runs outside the removed spans."""
+def kept_tokens(page_tokens: Column, cuts: Column) -> Column:
+    """Array of ``(pos, txt)`` for the tokens outside the removed spans."""
     nothing = F.array().cast("array<struct<from:int,to:int>>")
 
-    def kept(gaps: Column) -> Column:
+    def sliced(gaps: Column) -> Column:
         return F.flatten(
             F.transform(
                 gaps,
-                lambda g: F.filter(
-                    F.transform(
-                        F.slice(page_tokens, g["from"] + 1, F.greatest(g["to"] - g["from"], F.lit(0))),
-                        lambda t, i: F.struct((g["from"] + i).alias("pos"), t.alias("txt")),
-                    ),
-                    lambda t: ~markup.is_markup(t["txt"]),
+                lambda g: F.transform(
+                    F.slice(page_tokens, g["from"] + 1, F.greatest(g["to"] - g["from"], F.lit(0))),
+                    lambda t, i: F.struct((g["from"] + i).alias("pos"), t.alias("txt")),
                 ),
             )
         )
 
     starts = F.concat(F.array(F.lit(0)), F.transform(F.coalesce(cuts, nothing), lambda c: c["to"] + 1))
     stops = F.concat(F.transform(F.coalesce(cuts, nothing), lambda c: c["from"]), F.array(F.size(page_tokens)))
-    return text.bind(F.zip_with(starts, stops, lambda a, b: F.struct(a.alias("from"), b.alias("to"))), kept)
+    return text.bind(F.zip_with(starts, stops, lambda a, b: F.struct(a.alias("from"), b.alias("to"))), sliced)
+
+
+def visible_text(page_tokens: Column, cuts: Column) -> Column:
+    """Array of ``(pos, txt)`` for the text runs outside the removed spans."""
+    return F.filter(kept_tokens(page_tokens, cuts), lambda t: ~markup.is_markup(t["txt"]))
 
 
 def _texts(runs: Column, span: Column) -> Column:
@@ -132,14 +142,15 @@ def _title(title: Column, heading_pieces: Column) -> Column:
     return F.coalesce(first, heading, F.lit(""))
 
 
-def _meta_map() -> Column:
+def meta_map(meta_tags: MetaTags = META_TAGS) -> Column:
+    """Map of the non-empty metadata of a layout row."""
     entries = F.array(
         *[
             F.when(
                 F.col(f"meta_{out}.content") != "",
                 F.struct(F.lit(out).alias("key"), F.col(f"meta_{out}.content").alias("value")),
             )
-            for _, _, out in META_KEYS
+            for out in meta_tags
         ]
     )
     pairs = F.map_from_entries(F.array_compact(entries))
@@ -159,7 +170,7 @@ def extract_fields(pages: DataFrame, key: str = "page_id") -> DataFrame:
         row = F.struct(
             _title(texts[1], F.split(texts[2], "\x00")).alias("title"),
             body.alias("body_text"),
-            _meta_map().alias("meta"),
+            meta_map().alias("meta"),
             F.length("html").cast("bigint").alias("html_length"),
         )
         return F.when(body != "", F.array(row))

@@ -13,50 +13,59 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import markup, text
 from pagemill.functions.entities import decode_entities
-from pagemill.operators.elements import elements
+from pagemill.operators.extract import copartitioned, kept_tokens, meta_map, page_layout
+
+META_TAGS = {
+    "author": (("name", "author"), ("property", "article:author")),
+    "description": (("name", "description"), ("property", "og:description")),
+    "categories": (("name", "category"), ("property", "article:section")),
+    "tags": (("name", "keywords"), ("property", "article:tag")),
+}
 
 _BLOCK_TAGS = ("address", "article", "aside", "blockquote", "body", "dd", "div", "dl", "dt", "footer",
                "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "html", "li", "main", "nav", "ol",
                "p", "pre", "section", "table", "td", "th", "title", "tr", "ul")
 
 
-def text_blocks(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """One row per text block: ``block``, ``in_title``, words, link words, text."""
-    spread = pages.select(key, "html").repartition(key)
-    runs = spread.select(key, F.posexplode(markup.tokens(F.col("html"))).alias("pos", "token"))
-    name = F.when(markup.is_tag(F.col("token")), markup.tag_name(F.col("token")))
-    sign = F.when(markup.is_closer(F.col("token")), -1).otherwise(1)
-    runs = runs.select(
+def text_blocks(cut: DataFrame, key: str) -> DataFrame:
+    """Blocks of pages with kept tokens ``(key, facts, kept)``: words, link words, text.
+
+    Windows and aggregate are keyed by the page, like their input. The page's
+    ``facts`` travel on one row only, an empty text put before its tokens.
+    """
+    header = F.array(F.struct(F.lit(-1).alias("pos"), F.lit("").alias("txt")))
+    runs = cut.select(key, "facts", F.explode(F.concat(header, F.col("kept"))).alias("t")).select(
         key,
-        "pos",
-        name.alias("tag"),
-        F.when(name.isNotNull(), sign).alias("sign"),
-        F.when(~markup.is_markup(F.col("token")), decode_entities(F.col("token"))).alias("txt"),
-    )
-    # Removed spans open at their first token and end after their last.
-    cuts = (
-        elements(spread, key)
-        .where(F.col("cut_from").isNotNull())
-        .select(key, F.explode(F.array(
-            F.struct(F.col("cut_from").alias("pos"), F.lit(1).alias("cut")),
-            F.struct((F.col("end") + 1).alias("pos"), F.lit(-1).alias("cut")),
-        )).alias("c"))
-        .groupBy(key, F.col("c.pos").alias("pos"))
-        .agg(F.sum("c.cut").alias("cut"))
+        F.when(F.col("t.pos") < 0, F.col("facts")).alias("facts"),
+        F.col("t.pos").alias("pos"),
+        F.col("t.txt").alias("token"),
     )
+    token = F.col("token")
+    name = F.when(markup.is_tag(token), markup.tag_name(token))
+    sign = F.when(markup.is_closer(token), -1).otherwise(1)
     in_page = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    marked = runs.join(cuts.hint("shuffle_hash"), [key, "pos"], "left").select(
-        "*",
-        F.sum(F.when(F.col("tag").isin(*_BLOCK_TAGS), 1).otherwise(0)).over(in_page).alias("block"),
-        F.sum(F.when(F.col("tag") == "a", F.col("sign")).otherwise(0)).over(in_page).alias("links"),
-        F.sum(F.when(F.col("tag") == "title", F.col("sign")).otherwise(0)).over(in_page).alias("titles"),
-        F.sum(F.coalesce("cut", F.lit(0))).over(in_page).alias("cuts"),
+    marked = runs.select(
+        key,
+        "facts",
+        "pos",
+        F.when(~markup.is_markup(token), decode_entities(token)).alias("txt"),
+        F.when(name.isin(*_BLOCK_TAGS), 1).otherwise(0).alias("opens_block"),
+        F.when(name == "a", sign).otherwise(0).alias("link"),
+        F.when(name == "title", sign).otherwise(0).alias("title"),
+    ).select(
+        key,
+        "facts",
+        "pos",
+        "txt",
+        F.sum("opens_block").over(in_page).alias("block"),
+        (F.sum("link").over(in_page) > 0).alias("in_link"),
+        (F.sum("title").over(in_page) > 0).alias("in_title"),
     )
-    visible = marked.where(F.col("txt").isNotNull() & (F.col("cuts") <= 0))
     words = text.word_count(F.col("txt"))
-    return visible.groupBy(key, "block", (F.col("titles") > 0).alias("in_title")).agg(
+    return marked.where(F.col("txt").isNotNull()).groupBy(key, "block", "in_title").agg(
+        F.first("facts", ignorenulls=True).alias("facts"),
         F.sum(words).alias("words"),
-        F.sum(F.when(F.col("links") > 0, words).otherwise(0)).alias("link_words"),
+        F.sum(F.when(F.col("in_link"), words).otherwise(0)).alias("link_words"),
         F.array_join(
             F.transform(F.sort_array(F.collect_list(F.struct("pos", "txt"))), lambda r: r["txt"]), " "
         ).alias("txt"),
@@ -67,46 +76,25 @@ def extract_precise(
     pages: DataFrame, key: str = "page_id", min_words: int = 10, max_link_density: float = 0.33
 ) -> DataFrame:
     """Title, main text, metadata and HTML length per page with any kept block."""
-    blocks = text_blocks(pages, key)
+    spread = copartitioned(pages, key, (key, "html"))
+    layout = page_layout(spread, key, META_TAGS).hint("shuffle_hash")
+    facts = F.struct(meta_map(META_TAGS).alias("meta"), F.length("html").cast("bigint").alias("html_length"))
+    kept = text.bind(markup.tokens(F.col("html")), lambda toks: kept_tokens(toks, F.col("cuts")))
+    cut = spread.join(layout, key, "left").select(key, facts.alias("facts"), kept.alias("kept"))
     good = ~F.col("in_title") & (F.col("words") >= min_words) & (
         F.col("link_words") <= F.col("words") * F.lit(max_link_density)
     )
     one_line = text.strip(F.regexp_replace(F.col("txt"), f"[{text.SPACE}]+", " "))
     lines = F.sort_array(F.collect_list(F.when(good, F.struct("block", one_line.alias("line")))))
-    texts = blocks.groupBy(key).agg(
+    texts = text_blocks(cut, key).groupBy(key).agg(
         F.array_join(F.transform(lines, lambda b: b["line"]), "\n").alias("body_text"),
-        F.coalesce(F.min_by(F.when(F.col("in_title"), one_line), F.when(F.col("in_title"), F.col("block"))), F.lit("")).alias("title"),
-    )
-    described = _meta(pages, key)
-    lengths = pages.select(key, F.length("html").cast("bigint").alias("html_length"))
-    return (
-        texts.where(F.col("body_text") != "")
-        .join(described, key, "left")
-        .join(lengths, key)
-        .select(
-            key,
-            "title",
-            "body_text",
-            F.coalesce("meta", F.create_map().cast("map<string,string>")).alias("meta"),
-            "html_length",
-        )
-    )
-
-
-def _meta(pages: DataFrame, key: str) -> DataFrame:
-    """Author, description, categories and tags as one map per page."""
-    label = F.lower(F.coalesce("meta.name", "meta.property", F.lit("")))
-    out = (
-        F.when(label.isin("author", "article:author"), "author")
-        .when(label.isin("description", "og:description"), "description")
-        .when(label.isin("category", "article:section"), "categories")
-        .when(label.isin("keywords", "article:tag"), "tags")
+        F.min_by(F.when(F.col("in_title"), one_line), F.when(F.col("in_title"), F.col("block"))).alias("title"),
+        F.first("facts", ignorenulls=True).alias("facts"),
     )
-    found = (
-        elements(pages.select(key, "html").repartition(key), key)
-        .where((F.col("tag") == "meta") & (F.col("meta.content") != ""))
-        .select(key, out.alias("name"), "start", text.strip(decode_entities(F.col("meta.content"))).alias("value"))
-        .where(F.col("name").isNotNull())
+    return texts.where(F.col("body_text") != "").select(
+        key,
+        F.coalesce("title", F.lit("")).alias("title"),
+        "body_text",
+        F.coalesce("facts.meta", F.create_map().cast("map<string,string>")).alias("meta"),
+        "facts.html_length",
     )
-    first = found.groupBy(key, "name").agg(F.min_by("value", "start").alias("value"))
-    return first.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("meta"))

@@ -68,11 +68,12 @@ def run_expansion(
     ``fetches`` needs ``page_id, url, final_url, status_code, content_type,
     content_length, html, error, fetched_at``, one row per requested URL. Only
     the seed's site is parsed, since links never leave it. Returns the walk and
-    the merged collection, which is also saved to ``config.output_path``.
+    the merged collection, as saved to ``config.output_path``.
     """
     spark = fetches.sparkSession
     config.check_on(spark)
-    existing = cut_lineage(load_documents(spark, config.output_path))
+    existing = load_documents(spark, config.output_path)
+    stored = cut_lineage(existing.select("url", "source"))
     seed_domain = spark.range(1).select(url_domain(normalize_url(F.lit(config.start_url)))).first()[0]
 
     site = judge_fetches(fetches.where(url_domain(F.col("url")) == seed_domain)).withColumn(
@@ -92,9 +93,9 @@ def run_expansion(
         .select("url", F.coalesce("outcome", F.lit("empty")).alias("outcome"))
     )
     links = parsed.select(F.col("requested").alias("url"), F.posexplode("links_internal").alias("rank", "link"))
-    on_domain = existing.where(F.col("source") == seed_domain).count()
+    on_domain = stored.where(F.col("source") == seed_domain).count()
     walk = expand_links(
-        config.start_url, outcomes, links, config.max_depth, config.max_pages, existing, on_domain,
+        config.start_url, outcomes, links, config.max_depth, config.max_pages, stored, on_domain,
         config.allowed_path_prefix, config.allowed_path_regex, refresh=not config.resume,
     )
     saved = walk.tasks.where(F.col("outcome") == "saved")
@@ -107,6 +108,5 @@ def run_expansion(
     )
     languages = None if profile is None else detect_language(rows, profile, "page_id")
     documents = assemble_documents(rows, languages)
-    merged = upsert(existing, documents)
-    save_documents(merged, config.output_path)
-    return walk, merged
+    save_documents(upsert(existing, documents), config.output_path)
+    return walk, load_documents(spark, config.output_path)
