@@ -50,7 +50,16 @@ URL_TAILS = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table, spread over all cores when its files give fewer tasks than that.
+
+    Small files hold one row group each, which a scan cannot split; on tables of
+    many files nothing is added.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name == "documents" and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores, "doc_id")
+    return df
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,7 +72,7 @@ def url_resolve(spark, sf):
 
 @query
 def page_tokens(spark, sf):
-    found = inputs.varied_pages(spark, sf).select("page_id", F.explode(markup.tokens(F.col("html"))).alias("token"))
+    found = inputs.varied_pages(spark, sf).select("page_id", F.explode_outer(markup.tokens(F.col("html"))).alias("token"))
     return found.groupBy("page_id").agg(
         F.count(F.lit(1)).alias("tokens"),
         F.count_if(markup.is_tag(F.col("token"))).alias("tags"),

@@ -10,9 +10,9 @@ from pagemill.functions.text import SPACE
 # Comments, scripts and styles hold no markup. They are read left to right in one
 # alternation, so a comment may hold "<script>" and a script may hold "<!--".
 _OPAQUE = (
-    r"(?is)<!--.*?(?:-->|\z)"
-    r"|<script\b[^>]*>.*?(?:</script\s*>|\z)"
-    r"|<style\b[^>]*>.*?(?:</style\s*>|\z)"
+    r"(?is)<(?:!--.*?(?:-->|\z)"
+    r"|script\b[^>]*>.*?(?:</script\s*>|\z)"
+    r"|style\b[^>]*>.*?(?:</style\s*>|\z))"
 )
 
 # A tag (quoted attribute values may hold ">"), a tag with a broken quote, a
@@ -43,11 +43,11 @@ def tokens(html: Column) -> Column:
 
 
 def is_markup(token: Column) -> Column:
-    return token.rlike("^<[A-Za-z!?/]")
+    return token.startswith("<") & token.rlike("^<[A-Za-z!?/]")
 
 
 def is_tag(token: Column) -> Column:
-    return token.rlike("^</?[A-Za-z]")
+    return token.startswith("<") & token.rlike("^</?[A-Za-z]")
 
 
 def tag_name(token: Column) -> Column:

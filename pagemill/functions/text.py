@@ -16,6 +16,9 @@ SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u300
 LINE_BREAK = r"\n-\r\x1c-\x1e\x85\u2028\u2029"
 INLINE_SPACE = r"\t\x1f\x20\xa0\u1680\u2000-\u200a\u202f\u205f\u3000"
 
+# Most characters are none of these; one cheap look rules them out.
+_NOT_LETTER = r"(?![!-~\xa1-\u167f])"
+
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and hand it to ``body``.
@@ -33,16 +36,22 @@ def strip(text: Column) -> Column:
     )
 
 
+def one_line(text: Column) -> Column:
+    """Collapse all whitespace to single blanks and trim."""
+    return F.btrim(F.regexp_replace(text, f"{_NOT_LETTER}[{SPACE}]+", " "))
+
+
 def tidy_lines(text: Column) -> Column:
     """Collapse blanks inside each line, trim the lines and drop the empty ones."""
-    collapsed = F.regexp_replace(text, f"[{INLINE_SPACE}]+", " ")
-    joined = F.regexp_replace(collapsed, f" ?[{LINE_BREAK}][{LINE_BREAK} ]*", "\n")
+    collapsed = F.regexp_replace(text, f"{_NOT_LETTER}[{INLINE_SPACE}]+", " ")
+    joined = F.regexp_replace(collapsed, f"{_NOT_LETTER} ?[{LINE_BREAK}][{LINE_BREAK} ]*", "\n")
     return F.btrim(joined, F.lit(" \n"))
 
 
 def word_count(text: Column) -> Column:
     """Number of whitespace-separated words, as bigint."""
-    return F.regexp_count(text, F.lit(f"[^{SPACE}]+")).cast("bigint")
+    word = r"(?:[!-~\xa1-\u167f]++|[^SPACE])++".replace("SPACE", SPACE)
+    return F.regexp_count(text, F.lit(word)).cast("bigint")
 
 
 def char_count(text: Column) -> Column:

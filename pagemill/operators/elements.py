@@ -58,8 +58,10 @@ def tag_rows(pages: DataFrame, key: str = "page_id", carry: tuple[str, ...] = ()
     ``carry`` names page columns to keep on anchor rows (for link resolution).
     """
     split = pages.withColumn("_tokens", markup.tokens(F.col("html")))
+    # The outer form keeps the optimizer from testing for empty arrays first, which
+    # would split every page once more.
     exploded = split.select(
-        key, *carry, F.size("_tokens").alias("page_tokens"), F.posexplode("_tokens").alias("pos", "token")
+        key, *carry, F.size("_tokens").alias("page_tokens"), F.posexplode_outer("_tokens").alias("pos", "token")
     ).where(markup.is_tag(F.col("token")))
     token, is_open = F.col("token"), ~markup.is_closer(F.col("token"))
     read_out = exploded.select(

@@ -164,8 +164,9 @@ def extract_fields(pages: DataFrame, key: str = "page_id") -> DataFrame:
     no_spans = F.array().cast("array<struct<start:int,end:int,parent:int,parent_end:int,selectors:array<int>>>")
     joined = spread.join(layout, key, "left")
 
-    # Each stage is bound once; the closing generator keeps the emptiness test
-    # from being pushed down and evaluated a second time.
+    # Each stage is bound once. The closing generator keeps the emptiness test from
+    # being pushed down, its outer form from being inferred: either way all stages
+    # would be evaluated again.
     def record(body: Column, texts: Column) -> Column:
         row = F.struct(
             _title(texts[1], F.split(texts[2], "\x00")).alias("title"),
@@ -192,7 +193,7 @@ def extract_fields(pages: DataFrame, key: str = "page_id") -> DataFrame:
         markup.tokens(F.col("html")),
         lambda toks: text.bind(visible_text(toks, F.col("cuts")), lambda runs: cut(toks, runs)),
     )
-    return joined.select(key, F.inline(fields))
+    return joined.select(key, F.inline_outer(fields)).where(F.col("body_text").isNotNull())
 
 
 def page_links(

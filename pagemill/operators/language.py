@@ -30,7 +30,9 @@ def explode_trigrams(df: DataFrame, text: str, *keep: str) -> DataFrame:
     letters = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"\P{L}+", " "), F.lit(" "))
     chunks = F.regexp_extract_all(letters, F.lit(r"(?=([\s\S]{1,4098}))[\s\S]{1,4096}"), F.lit(1))
     grams = F.regexp_extract_all(F.col("chunk"), F.lit(r"(?=([\s\S]{3}))"), F.lit(1))
-    return df.select(*keep, F.explode(chunks).alias("chunk")).select(*keep, F.explode(grams).alias("gram"))
+    # Outer forms: plain ones make the optimizer compute each array again to test it.
+    pieces = df.select(*keep, F.explode_outer(chunks).alias("chunk"))
+    return pieces.select(*keep, F.explode_outer(grams).alias("gram")).where(F.col("gram").isNotNull())
 
 
 def train_profile(

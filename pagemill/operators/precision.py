@@ -34,7 +34,7 @@ def text_blocks(cut: DataFrame, key: str) -> DataFrame:
     ``facts`` travel on one row only, an empty text put before its tokens.
     """
     header = F.array(F.struct(F.lit(-1).alias("pos"), F.lit("").alias("txt")))
-    runs = cut.select(key, "facts", F.explode(F.concat(header, F.col("kept"))).alias("t")).select(
+    runs = cut.select(key, "facts", F.explode_outer(F.concat(header, F.col("kept"))).alias("t")).select(
         key,
         F.when(F.col("t.pos") < 0, F.col("facts")).alias("facts"),
         F.col("t.pos").alias("pos"),
@@ -84,7 +84,7 @@ def extract_precise(
     good = ~F.col("in_title") & (F.col("words") >= min_words) & (
         F.col("link_words") <= F.col("words") * F.lit(max_link_density)
     )
-    one_line = text.strip(F.regexp_replace(F.col("txt"), f"[{text.SPACE}]+", " "))
+    one_line = text.one_line(F.col("txt"))
     lines = F.sort_array(F.collect_list(F.when(good, F.struct("block", one_line.alias("line")))))
     texts = text_blocks(cut, key).groupBy(key).agg(
         F.array_join(F.transform(lines, lambda b: b["line"]), "\n").alias("body_text"),

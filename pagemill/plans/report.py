@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,16 +29,10 @@ def mean_words(documents: DataFrame) -> DataFrame:
 
 def _with_share(groups: DataFrame) -> DataFrame:
     # The groups are few (one per label), so their total is a window over them.
-    total = F.sum("documents").over(_all_groups())
+    total = F.sum("documents").over(Window.partitionBy(F.lit(1)))
     return groups.withColumn("percent", _percent(F.col("documents"), total))
 
 
-def _all_groups():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(1))
-
-
 def type_breakdown(documents: DataFrame) -> DataFrame:
     """Documents, share and mean words per content type; the ``null`` bucket's mean is 0."""
     groups = documents.groupBy("content_type").agg(

@@ -44,7 +44,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
             for name in DOCUMENT_SCHEMA.names
         ]
         reason = F.when(broken, F.lit("malformed")).when(missing, F.lit("missing_key"))
-        return F.when(value.rlike(f"[^{SPACE}]"), F.array(F.struct(*fields, reason.alias("skip_reason"))))
+        return F.when(value.rlike(f"[^{SPACE}]"), F.array(F.struct(*fields, reason.alias("skip_reason"), F.lit(True).alias("line"))))
 
     # Bound once per line: each line is parsed a single time, whatever is read of it.
     once = bind(
@@ -54,7 +54,8 @@ def parse_lines(lines: DataFrame) -> DataFrame:
             judged,
         ),
     )
-    return lines.select(*lines.columns, F.inline(once))
+    judged_lines = lines.select(*lines.columns, F.inline_outer(once).alias(*DOCUMENT_SCHEMA.names, "skip_reason", "_line"))
+    return judged_lines.where("_line").drop("_line")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

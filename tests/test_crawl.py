@@ -48,7 +48,7 @@ def site():
     return graph, outcome
 
 
-CASES = [(0, None, 0), (1, None, 0), (3, None, 0), (3, 1, 0), (3, 4, 0), (3, 17, 0), (3, 500, 0), (3, 10, 6), (3, 5, 5)]
+CASES = [(0, None, 0), (3, None, 0), (3, 4, 0), (3, 17, 0), (3, 10, 6)]
 
 
 @pytest.mark.parametrize("depth, pages, stored", CASES)
