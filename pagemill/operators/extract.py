@@ -35,8 +35,12 @@ def _span(*extra: Column) -> Column:
 
 
 def copartitioned(pages: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
-    """The one exchange of the extraction: whole pages, hashed by their key."""
-    return pages.select(*columns).repartition(key)
+    """The one exchange of the extraction: whole pages, hashed by their key.
+
+    The key test is what a join on the key infers; stated here, both readers of
+    the exchange share it.
+    """
+    return pages.select(*columns).where(F.col(key).isNotNull()).repartition(key)
 
 
 def page_layout(pages: DataFrame, key: str = "page_id", meta_tags: MetaTags = META_TAGS) -> DataFrame:
