@@ -9,6 +9,8 @@ import duckdb
 import pytest
 
 from __spark_entry__ import oracle_sql, queries
+from pagemill.catalog.oracle import all_sql
+from pagemill.catalog.queries import all_queries
 
 FOLDER = os.environ.get("CATALOG_SF_DIR", "/root/testdata/sf0.001")
 QUICK = ("url_normalize", "url_resolve", "page_tokens", "page_text_variants", "links_cleaned", "url_reject_reasons", "fetch_outcomes",
@@ -16,7 +18,7 @@ QUICK = ("url_normalize", "url_resolve", "page_tokens", "page_text_variants", "l
 
 
 def names():
-    return sorted(queries()) if os.environ.get("CATALOG_ALL") else QUICK
+    return sorted(all_queries()) if os.environ.get("CATALOG_ALL") else QUICK
 
 
 @pytest.fixture(scope="module")
@@ -30,7 +32,7 @@ def sql_engine():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(all_queries()) == set(all_sql())
 
 
 @pytest.mark.parametrize("name", names())
