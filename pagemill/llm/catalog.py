@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import exact_dedup, language_id, packing, secrets
+from pagemill.llm import exact_dedup, language_id, licenses, mixing, packing, quality, secrets, toxicity
 from pagemill.llm.common import id_remainder, partitions, shared_path, table
 
+#: Shares of the domains (languages) wanted in the mix, at as many tokens as there are.
+TARGETS = mixing.Targets({"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2})
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -18,6 +20,16 @@ def op1_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf, "documents"))
 
 
+def op2_target_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return mixing.mix(docs, docs.select("text", F.col("lang").alias("domain")), TARGETS)
+
+
+def op3_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf, "labels")))
+
+
 def op4_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     held_out = id_remainder(F.col("doc_id"), 5) == 0
@@ -26,6 +38,18 @@ def op4_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op6_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf, "documents"), licenses.known_licenses(spark))
+
+
+def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    labels = table(spark, sf, "labels")
+    model = toxicity.train(docs, labels.filter(id_remainder(F.col("doc_id"), 3) != 1))
+    held_out = id_remainder(F.col("doc_id"), 3) == 1
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", "passages")
+
+
 def op8_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     index = exact_dedup.DigestIndex.open(spark, shared_path(spark, "digest-index"), partitions(spark))
     found = exact_dedup.deduplicate(table(spark, sf, "documents"), index)
@@ -37,8 +61,11 @@ def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op4_language_id, op8_exact_dedup, op9_packing)}
+    operators = (
+        op1_secret_scan, op2_target_mixing, op3_quality_classifier, op4_language_id, op6_license_scan, op7_toxicity, op8_exact_dedup, op9_packing,
+    )
+    return {f.__name__: f for f in operators}
 
 
 def llm_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": exact_dedup.SQL}
+    return {"op6_license_scan": licenses.sql(), "op8_exact_dedup": exact_dedup.SQL}
