@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import exact_dedup, language_id, licenses, mixing, packing, quality, secrets, toxicity
+from pagemill.llm import exact_dedup, language_id, licenses, mixing, neighbours, packing, quality, secrets, toxicity
 from pagemill.llm.common import id_remainder, partitions, shared_path, table
 
 #: Shares of the domains (languages) wanted in the mix, at as many tokens as there are.
@@ -60,9 +60,15 @@ def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), TOKENIZER)
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    return neighbours.search(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     operators = (
         op1_secret_scan, op2_target_mixing, op3_quality_classifier, op4_language_id, op6_license_scan, op7_toxicity, op8_exact_dedup, op9_packing,
+        op10_nearest_neighbours,
     )
     return {f.__name__: f for f in operators}
 
