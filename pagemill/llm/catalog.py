@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import exact_dedup, language_id, licenses, mixing, neighbours, packing, quality, secrets, toxicity
+from pagemill.llm import exact_dedup, jaccard, language_id, licenses, mixing, neighbours, packing, quality, secrets, toxicity
 from pagemill.llm.common import id_remainder, partitions, shared_path, table
 
 #: Shares of the domains (languages) wanted in the mix, at as many tokens as there are.
@@ -38,6 +38,11 @@ def op4_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op5_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    found = jaccard.link_components(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op6_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf, "documents"), licenses.known_licenses(spark))
 
@@ -67,7 +72,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     operators = (
-        op1_secret_scan, op2_target_mixing, op3_quality_classifier, op4_language_id, op6_license_scan, op7_toxicity, op8_exact_dedup, op9_packing,
+        op1_secret_scan, op2_target_mixing, op3_quality_classifier, op4_language_id, op5_jaccard_join, op6_license_scan, op7_toxicity, op8_exact_dedup, op9_packing,
         op10_nearest_neighbours,
     )
     return {f.__name__: f for f in operators}
