@@ -226,23 +226,25 @@ def doc_assemble(spark, sf):
 
 @query
 def lang_profile(spark, sf):
-    profile = train_profile(inputs.table(spark, sf, "documents"))
-    names = [c for c in profile.columns if c != "gram"]
-    pairs = F.array(*[F.struct(F.lit(n).alias("language"), F.col(n).alias("weight")) for n in names])
-    return profile.select("gram", F.inline(pairs))
+    return train_profile(inputs.table(spark, sf, "documents"))
 
 
 @query
 def lang_predict(spark, sf):
+    """The language of every document; null for short texts."""
     docs = inputs.table(spark, sf, "documents")
-    return detect_language(docs, cut_lineage(train_profile(docs)), "doc_id", "text")
+    found = detect_language(docs, cut_lineage(train_profile(docs)), "doc_id", "text")
+    return docs.select("doc_id").join(found, "doc_id", "left")
 
 
 @query
 def lang_accuracy(spark, sf):
+    """Predictions by label for documents that taught the profile and for those held out (every fifth id)."""
     docs = inputs.table(spark, sf, "documents")
-    found = detect_language(docs, cut_lineage(train_profile(docs)), "doc_id", "text")
-    return docs.select("doc_id", "lang").join(found, "doc_id", "left").groupBy("lang", "language").agg(F.count(F.lit(1)).alias("documents"))
+    held_out = (F.col("doc_id") % 5 == 0).alias("held_out")
+    found = detect_language(docs, cut_lineage(train_profile(docs.where("doc_id % 5 <> 0"))), "doc_id", "text")
+    labels = docs.select("doc_id", "lang", held_out).join(found, "doc_id", "left")
+    return labels.groupBy("held_out", "lang", "language").agg(F.count(F.lit(1)).alias("documents"))
 
 
 # --- collections ----------------------------------------------------------
@@ -411,14 +413,21 @@ def best_backend(spark, sf):
 
 @query
 def incremental_ingest(spark, sf):
-    """Pages as a file stream, upserted into a store; the store's rows."""
+    """Two streams of the pages into one store, the first replayed as a new query; the store's rows.
+
+    The second stream is a later fetch of every other page, with another title.
+    """
     folder = f"{checkpoint_folder(spark)}/ingest-{uuid.uuid4().hex}"
     schema = inputs.table(spark, sf, "pages").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(sf)
-    stream = stream.withColumn("fetched_at", F.to_timestamp(F.lit(inputs.FETCHED_AT)))
-    writer = ingest_stream(stream, f"{folder}/store", f"{folder}/progress", link_scope="raw")
-    writer.trigger(availableNow=True).start().awaitTermination()
+    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf}/{{pages.parquet}}")  # a pattern: one file or a folder of them
+    first = files.withColumn("fetched_at", F.to_timestamp(F.lit(inputs.FETCHED_AT)))
+    later = first.where("page_id % 2 = 0").withColumns(
+        {"html": F.replace("html", F.lit("<title>"), F.lit("<title>Later ")), "fetched_at": F.col("fetched_at") + F.expr("INTERVAL 1 DAY")}
+    )
+    for name, stream in (("first", first), ("later", later), ("replay", first)):
+        writer = ingest_stream(stream, f"{folder}/store", f"{folder}/{name}", link_scope="raw")
+        writer.trigger(availableNow=True).start().awaitTermination()
     return read_store(spark, f"{folder}/store").select(
-        "doc_id", "source", "url", "title", "word_count", "char_count", "content_type", "text_to_html_ratio",
+        "doc_id", "source", "url", "title", "fetched_at", "word_count", "char_count", "content_type", "text_to_html_ratio",
         F.size("links_out_internal").cast("bigint").alias("links"),
     )

@@ -10,9 +10,9 @@ from pagemill.functions.urls import url_path
 
 # File types that are no pages.
 SKIPPED_EXTENSIONS = (
-    "pdf png jpg jpeg gif svg webp ico css js xml rss atom zip tar gz bz2 7z rar "
-    "mp3 mp4 wav avi mov webm doc docx xls xlsx ppt pptx woff woff2 ttf eot json csv tsv"
-).split()
+    "pdf", "png", "jpg", "jpeg", "gif", "svg", "webp", "ico", "css", "js", "xml", "rss", "atom", "zip", "tar", "gz", "bz2", "7z", "rar",
+    "mp3", "mp4", "wav", "avi", "mov", "webm", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "woff", "woff2", "ttf", "eot", "json", "csv", "tsv",
+)
 # Path segments that rarely hold content.
 NON_CONTENT = (
     "(?i)/(?:login|logout|signin|signup|register|reset-password|search|admin|dashboard|settings|preferences"

@@ -28,11 +28,6 @@ UNREAD_TAGS = ("template", "rt", "rp")
 
 # Main-content selectors, best first.
 CONTENT_NAMES = ("content", "main", "body", "article", "post")
-CONTENT_SELECTORS = (
-    "main", "article", "[role=main]",
-    *[f"div.{name}" for name in CONTENT_NAMES],
-    *[f"div#{name}" for name in CONTENT_NAMES],
-)
 
 # End tags that may be omitted, and the family whose next tag ends the element.
 _FAMILY = {"p": "p", "li": "li", "dt": "dt", "dd": "dt", "td": "td", "th": "td", "tr": "tr", "option": "option"}

@@ -43,8 +43,10 @@ def copartitioned(pages: DataFrame, key: str, columns: tuple[str, ...]) -> DataF
     return pages.select(*columns).where(F.col(key).isNotNull()).repartition(key)
 
 
-def page_layout(pages: DataFrame, key: str = "page_id", meta_tags: MetaTags = META_TAGS) -> DataFrame:
-    """One row per page that has any tag: spans needed to cut out its fields."""
+def page_layout(
+    pages: DataFrame, key: str = "page_id", meta_tags: MetaTags = META_TAGS, anchors: bool = False
+) -> DataFrame:
+    """One row per page that has any tag: spans needed to cut out its fields, and its ``anchors`` if wanted."""
     seen = ~F.col("hidden")
 
     def first_content(tags: tuple[tuple[str, str], ...]) -> Column:
@@ -55,6 +57,9 @@ def page_layout(pages: DataFrame, key: str = "page_id", meta_tags: MetaTags = ME
 
     metas = [first_content(tags).alias(f"meta_{out}") for out, tags in meta_tags.items()]
     candidate = _span(F.col("parent"), F.col("parent_end"), F.col("selectors"))
+    linked = seen & (F.col("tag") == "a") & F.col("href").isNotNull() & ~F.col("href").rlike(SKIPPED_LINKS)
+    if anchors:
+        metas.append(F.sort_array(F.collect_list(F.when(linked, F.struct("start", "href")))).alias("anchors"))
     return elements(pages, key).groupBy(key).agg(
         F.sort_array(
             F.collect_list(F.when(F.col("cut_from").isNotNull(), F.struct(F.col("cut_from").alias("from"), F.col("end").alias("to"))))
@@ -161,10 +166,17 @@ def meta_map(meta_tags: MetaTags = META_TAGS) -> Column:
     return F.transform_values(pairs, lambda _, value: text.strip(decode_entities(value)))
 
 
-def extract_fields(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """Title, main text, metadata and HTML length per page that has any text."""
-    spread = copartitioned(pages, key, (key, "html"))
-    layout = page_layout(spread, key).hint("shuffle_hash")
+def extract_fields(
+    pages: DataFrame, key: str = "page_id", keep: tuple[str, ...] = (), links: bool = False, seed_domain: str | None = None
+) -> DataFrame:
+    """Title, main text, metadata and HTML length per page that has any text.
+
+    ``keep`` passes page columns on. With ``links`` there are also the page's internal
+    links after boilerplate removal, as :func:`page_links` finds them, from the same
+    structure and without a further exchange; ``keep`` must then have ``url``.
+    """
+    spread = copartitioned(pages, key, (key, "html", *keep))
+    layout = page_layout(spread, key, anchors=links).hint("shuffle_hash")
     no_spans = F.array().cast("array<struct<start:int,end:int,parent:int,parent_end:int,selectors:array<int>>>")
     joined = spread.join(layout, key, "left")
 
@@ -197,7 +209,16 @@ def extract_fields(pages: DataFrame, key: str = "page_id") -> DataFrame:
         markup.tokens(F.col("html")),
         lambda toks: text.bind(visible_text(toks, F.col("cuts")), lambda runs: cut(toks, runs)),
     )
-    return joined.select(key, F.inline_outer(fields)).where(F.col("body_text").isNotNull())
+    found = joined.select(key, *keep, *(["anchors"] if links else []), F.inline_outer(fields)).where(F.col("body_text").isNotNull())
+    if not links:
+        return found
+    home = F.lit(seed_domain) if seed_domain is not None else url_domain(F.col("url"))
+    resolved = F.transform(
+        F.coalesce("anchors", F.array().cast("array<struct<start:int,href:string>>")),
+        lambda a: normalize_url(resolve_url(F.col("url"), decode_entities(a["href"]))),
+    )
+    inside = text.bind(home, lambda h: F.filter(F.array_compact(resolved), lambda link: url_domain(link) == h))
+    return found.withColumn("links_internal", F.array_distinct(inside)).drop("anchors")
 
 
 def page_links(
@@ -215,11 +236,12 @@ def page_links(
     """
     if scope not in ("cleaned", "raw"):
         raise ValueError(f"unknown link scope {scope!r}; use 'cleaned' or 'raw'")
-    spread = copartitioned(pages, key, (key, "url", "html"))
     if scope == "cleaned":
+        spread = copartitioned(pages, key, (key, "url", "html"))
         anchors = elements(spread, key, ("url",)).where(~F.col("hidden"))
     else:
-        anchors = tag_rows(spread, key, ("url",)).where(~F.col("closer")).withColumnRenamed("pos", "start")
+        # No structure is needed, so pages stay where they are; only links are exchanged.
+        anchors = tag_rows(pages, key, ("url",)).where(~F.col("closer")).withColumnRenamed("pos", "start")
         anchors = anchors.where(F.col("href") != "")
     anchors = anchors.where((F.col("tag") == "a") & F.col("href").isNotNull() & ~F.col("href").rlike(SKIPPED_LINKS))
     home = F.lit(seed_domain) if seed_domain is not None else url_domain(F.col("url"))

@@ -1,24 +1,21 @@
 """Language identification by a naive Bayes model over character trigrams.
 
-The profile keeps the most frequent trigrams of each language (Cavnar & Trenkle
-1994) with integer log weights, so sums are exact and results do not depend on
-the order of addition. Scoring explodes a text's trigrams inside its own task,
-meets the profile in a hash join and sums per text before anything is shuffled.
+The profile is a long table with every trigram of every language and integer log
+weights, so sums are exact and results do not depend on the order of addition. A
+text's trigrams are counted inside its own task, meet the profile by trigram (Spark
+picks the join from the sizes and splits frequent trigrams), and are summed per text
+and language.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import word_count
-from pagemill.operators.sizing import broadcast_if_small, cut_lineage
+from pagemill.operators.sizing import cut_lineage
 
 MIN_WORDS = 20
-PROFILE_SIZE = 400
-_MAX_LANGUAGES = 1000
 
 
 def explode_trigrams(df: DataFrame, text: str, *keep: str) -> DataFrame:
@@ -29,42 +26,32 @@ def explode_trigrams(df: DataFrame, text: str, *keep: str) -> DataFrame:
     """
     letters = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"\P{L}+", " "), F.lit(" "))
     chunks = F.regexp_extract_all(letters, F.lit(r"(?=([\s\S]{1,4098}))[\s\S]{1,4096}"), F.lit(1))
-    grams = F.regexp_extract_all(F.col("chunk"), F.lit(r"(?=([\s\S]{3}))"), F.lit(1))
+    # Each match takes one code point, so none starts inside a surrogate pair.
+    grams = F.regexp_extract_all(F.col("chunk"), F.lit(r"(?=([\s\S]{3}))[\s\S]"), F.lit(1))
     # Outer forms: plain ones make the optimizer compute each array again to test it.
     pieces = df.select(*keep, F.explode_outer(chunks).alias("chunk"))
     return pieces.select(*keep, F.explode_outer(grams).alias("gram")).where(F.col("gram").isNotNull())
 
 
-def train_profile(
-    labelled: DataFrame, text: str = "text", label: str = "lang", size: int = PROFILE_SIZE
-) -> DataFrame:
-    """Profile table ``(gram, <language>...)``: one weight column per language.
+def train_profile(labelled: DataFrame, text: str = "text", label: str = "lang") -> DataFrame:
+    """Profile table ``(gram, language, weight)`` with every trigram seen.
 
-    Holds at most ``size`` trigrams per language. A weight is
-    ``round(1000 * ln((count + 1) / (total + vocabulary)))`` over the kept ones.
+    A weight is ``round(1000 * ln((count + 1) / (total + vocabulary)))``. The row of
+    a language with the empty gram has the weight of the trigrams it lacks.
     """
-    counts = (
+    counts = cut_lineage(
         explode_trigrams(labelled.where(F.col(label).isNotNull()), text, label)
         .groupBy(F.col(label).alias("language"), "gram")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    by_count = Window.partitionBy("language").orderBy(F.desc("n"), "gram")
-    kept = cut_lineage(
-        counts.withColumn("rank", F.row_number().over(by_count)).where(F.col("rank") <= size).drop("rank")
-    )
-    # Small from here on: at most `size` rows per language.
-    totals = kept.groupBy("language").agg(F.sum("n").alias("total")).orderBy("language").limit(_MAX_LANGUAGES + 1).collect()
-    if len(totals) > _MAX_LANGUAGES:
-        raise ValueError(f"more than {_MAX_LANGUAGES} distinct labels in {label!r}: not languages")
-    vocabulary = kept.select("gram").distinct().count()
-    names = [row["language"] for row in totals]
-    wide = kept.groupBy("gram").pivot("language", names).agg(F.first("n"))
+    vocabulary = counts.select("gram").distinct().count()
+    totals = counts.groupBy("language").agg(F.sum("n").alias("total"))
 
-    def weight(name: str, total: int):
-        share = (F.coalesce(F.col(f"`{name}`"), F.lit(0)) + 1) / F.lit(float(total + vocabulary))
-        return F.round(F.ln(share) * 1000).cast("bigint").alias(name)
+    def weight(n):
+        return F.round(F.ln((n + 1) / (F.col("total") + F.lit(float(vocabulary)))) * 1000).cast("bigint").alias("weight")
 
-    return wide.select("gram", *[weight(row["language"], row["total"]) for row in totals])
+    seen = counts.join(totals, "language").select("gram", "language", weight(F.col("n")))
+    return seen.unionByName(totals.select(F.lit("").alias("gram"), "language", weight(F.lit(0))))
 
 
 def detect_language(texts: DataFrame, profile: DataFrame, key: str, text: str = "body_text") -> DataFrame:
@@ -72,18 +59,29 @@ def detect_language(texts: DataFrame, profile: DataFrame, key: str, text: str =
 
     Shorter or unknown texts give no row. Ties go to the first language by name.
     """
-    names = sorted(c for c in profile.columns if c != "gram")
     long_enough = texts.where(word_count(F.col(text)) >= MIN_WORDS)
-    grams = explode_trigrams(long_enough, text, key)
-    scores = (
-        grams.join(broadcast_if_small(profile), "gram")
-        .groupBy(key)
-        .agg(*[F.sum(f"`{name}`").alias(name) for name in names])
+    counts = explode_trigrams(long_enough, text, key).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("n"))
+    base = profile.where("gram = ''").select("language", F.col("weight").alias("base"))
+    # Above what a language gives a trigram it lacks; never negative.
+    gains = (
+        profile.where("gram <> ''").join(base, "language")
+        .groupBy("gram").agg(F.collect_list(F.struct("language", (F.col("weight") - F.col("base")).alias("gain"))).alias("gains"))
+    )
+    met = counts.join(gains, "gram").select(key, "n", F.posexplode("gains").alias("place", "entry"))
+    sums = met.groupBy(key, F.col("entry.language").alias("language")).agg(
+        F.sum(F.col("n") * F.col("entry.gain")).alias("gain"), F.sum(F.when(F.col("place") == 0, F.col("n")).otherwise(0)).alias("n")
+    )
+    whole = sums.join(base, "language").groupBy(key).agg(
+        F.sum("n").alias("n"), F.collect_list(F.struct("language", "gain", "base")).alias("found")
     )
-    best = F.greatest(*[F.col(f"`{name}`") for name in names]) if len(names) > 1 else F.col(f"`{names[0]}`")
-    pick = reduce(
-        lambda rest, name: F.when(F.col(f"`{name}`") == best, F.lit(name)).otherwise(rest),
-        reversed(names),
-        F.lit(None).cast("string"),
+    # Of the languages that a text shares nothing with, only the one with the highest base can win.
+    rest = base.agg(F.min_by("language", F.struct((-F.col("base")).alias("b"), "language")).alias("r"), F.max("base").alias("rb"))
+    whole = whole.withColumn("rest", F.struct(
+        rest.select("r").scalar().alias("language"), F.lit(0).cast("bigint").alias("gain"), rest.select("rb").scalar().alias("base")
+    ))
+    known = F.exists("found", lambda x: x["language"] == F.col("rest.language"))
+    scored = F.transform(
+        F.when(known, F.col("found")).otherwise(F.concat("found", F.array("rest"))),
+        lambda x: F.struct((-(x["gain"] + F.col("n") * x["base"])).alias("loss"), x["language"].alias("language")),
     )
-    return scores.select(key, pick.alias("language"))
+    return whole.select(key, F.array_min(scored)["language"].alias("language"))

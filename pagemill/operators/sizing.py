@@ -1,4 +1,4 @@
-"""Checked broadcasts, durable lineage cuts and distributed row numbers."""
+"""Durable lineage cuts and distributed row numbers."""
 
 from __future__ import annotations
 
@@ -7,18 +7,6 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 500_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint when a count proves the table small, else the table as it is.
-
-    Meant for tables already written or checkpointed, so that the bounded count
-    is cheap. Without the hint Spark plans a shuffled join.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def checkpoint_folder(spark: SparkSession) -> str:
     """The session's shared checkpoint folder; a temporary one in local mode only."""
     context = spark.sparkContext

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagemill.config import CrawlConfig
 from pagemill.functions.urls import normalize_url, url_domain
 from pagemill.operators.enrich import assemble_documents
-from pagemill.operators.extract import link_lists, page_links
+from pagemill.operators.extract import extract_fields, link_lists, page_links
 from pagemill.operators.frontier import Expansion, expand_links
 from pagemill.operators.language import detect_language
 from pagemill.operators.sizing import cut_lineage
@@ -24,11 +24,20 @@ def parse_pages(
     seed_domain: str | None = None,
     link_scope: str | None = None,
     key: str = "page_id",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Pages ``(key, url, html, fetched_at)`` to parsed rows with their links."""
+    """Pages ``(key, url, html, fetched_at)`` to parsed rows with their links; ``keep`` passes further columns on.
+
+    Cleaned links come from the structure that the text is cut by: one exchange of
+    the pages gives all. Raw links are exchanged on their own, without the pages.
+    """
     chosen = get_extractor(extractor)
-    links = link_lists(page_links(pages, key, link_scope or chosen.link_scope, seed_domain), key)
-    heads = pages.select(key, normalize_url(F.col("url")).alias("url"), "fetched_at")
+    scope = link_scope or chosen.link_scope
+    if chosen.fields is extract_fields and scope == "cleaned":
+        parsed = extract_fields(pages, key, ("url", "fetched_at", *keep), links=True, seed_domain=seed_domain)
+        return parsed.withColumn("url", normalize_url(F.col("url"))).where(F.col("url").isNotNull())
+    links = link_lists(page_links(pages, key, scope, seed_domain), key)
+    heads = pages.select(key, normalize_url(F.col("url")).alias("url"), "fetched_at", *keep)
     return (
         chosen.fields(pages, key)
         .join(heads.where(F.col("url").isNotNull()), key)
@@ -45,12 +54,12 @@ def build_documents(
     key: str = "page_id",
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Pages to documents, one per page with text; ``keep`` passes parsed columns on.
+    """Pages to documents, one per page with text; ``keep`` passes columns of the pages on.
 
     The parsed rows are written once (checkpoint folder) because the language
     step reads them a second time.
     """
-    parsed = parse_pages(pages, extractor, seed_domain, link_scope, key)
+    parsed = parse_pages(pages, extractor, seed_domain, link_scope, key, tuple(name for name in keep if name != key))
     if profile is None:
         return assemble_documents(parsed, None, key, keep)
     parsed = cut_lineage(parsed)
@@ -66,7 +75,8 @@ def run_expansion(
     """Walk from the start URL over a fetch log and merge into the collection.
 
     ``fetches`` needs ``page_id, url, final_url, status_code, content_type,
-    content_length, html, error, fetched_at``, one row per requested URL. Only
+    content_length, html, error, fetched_at``. Of several fetches of one URL the
+    latest successful one counts, or the latest failure. Only
     the seed's site is parsed, since links never leave it. Returns the walk and
     the merged collection, as saved to ``config.output_path``.
     """
@@ -79,8 +89,9 @@ def run_expansion(
     site = judge_fetches(fetches.where(url_domain(F.col("url")) == seed_domain)).withColumn(
         "requested", normalize_url(F.col("url"))
     )
-    # One fetch per canonical URL: the lowest page id stands for it.
-    chosen = site.groupBy("requested").agg(F.min("page_id").alias("page_id"))
+    # One fetch per canonical URL: the latest that succeeded, the latest of all where none did.
+    latest = F.struct("success", "fetched_at", "page_id")
+    chosen = site.groupBy("requested").agg(F.max_by("page_id", latest).alias("page_id"))
     site = site.drop("requested").join(chosen, "page_id")
     pages = site.where("success").select("page_id", "requested", F.col("final_url").alias("url"), "html", "fetched_at")
     parsed = cut_lineage(

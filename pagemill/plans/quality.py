@@ -23,7 +23,9 @@ def contract_rules(content_types: tuple[str, ...] = CONTENT_TYPES) -> dict[str,
         rules[f"{name}.minimum"] = F.col(name) < 0
     rules["content_type.enum"] = ~F.col("content_type").isin(*content_types)
     rules["url.format"] = ~F.col("url").rlike(_URI)
-    real_moment = F.try_to_timestamp("fetched_at").isNotNull()
+    # Letters of either case are allowed, and a leap second, which timestamps do not know.
+    usual = F.regexp_replace(F.upper("fetched_at"), r"T([0-9]{2}:[0-9]{2}):60(?![0-9])", "T$1:59")
+    real_moment = F.try_to_timestamp(usual).isNotNull()
     rules["fetched_at.format"] = ~(F.col("fetched_at").rlike(_DATE_TIME) & real_moment)
     rules["links_out_internal.format"] = F.exists("links_out_internal", lambda link: ~link.rlike(_URI))
     return rules
@@ -43,6 +45,7 @@ def contract_violations(
 
 def extraction_score(title: Column, body: Column, meta: Column, html_length: Column) -> Column:
     """0 to 1: text length, text share of the HTML, title and metadata, to 3 places."""
+    # The weights and the sizes that earn them in full.
     chars = F.length(body).cast("double")
     length = F.least(chars / 500, F.lit(1.0)) * 0.4
     share = F.when(html_length > 0, F.least(chars / html_length / 0.3, F.lit(1.0)) * 0.3).otherwise(0.0)

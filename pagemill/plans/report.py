@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.operators.sizing import cut_lineage
+
 
 def _percent(part: Column, whole: Column) -> Column:
     return F.bround(F.try_divide(part * F.lit(100.0), whole), 1)
@@ -28,8 +30,7 @@ def mean_words(documents: DataFrame) -> DataFrame:
 
 
 def _with_share(groups: DataFrame) -> DataFrame:
-    # The groups are few (one per label), so their total is a window over them.
-    total = F.sum("documents").over(Window.partitionBy(F.lit(1)))
+    total = groups.agg(F.sum("documents")).scalar()
     return groups.withColumn("percent", _percent(F.col("documents"), total))
 
 
@@ -89,18 +90,19 @@ def first_source(documents: DataFrame, order: str) -> DataFrame:
 def report(documents: DataFrame, order: str = "doc_id") -> DataFrame:
     """All numbers of the report as ``(section, key, metric, value)``.
 
-    Works from one aggregation by type, language and readiness instead of a scan
-    per section; only the distinct sources need a pass of their own.
+    One aggregation by type, language and readiness is written to the checkpoint
+    folder (a row per combination), and the sections are read from it; only the
+    distinct sources need a pass of their own.
     """
     ready = is_ready(documents).alias("ready")
-    cube = documents.groupBy("content_type", "language", ready).agg(
+    cube = cut_lineage(documents.groupBy("content_type", "language", ready).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("word_count").alias("words"),
         F.count("word_count").alias("worded"),
         F.sum("char_count").alias("chars"),
         F.min("fetched_at").alias("first_fetch"),
         F.max("fetched_at").alias("last_fetch"),
-    )
+    ))
     sources = documents.agg(F.count_distinct("source").alias("sources"), F.min_by("source", order).alias("source"))
 
     def rows(df: DataFrame, section: str, label: Column, metrics: dict[str, Column]) -> DataFrame:

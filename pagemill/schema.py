@@ -25,15 +25,3 @@ DOCUMENT_SCHEMA = T.StructType(
 
 # Keys a stored document must have, and the values of the others when missing.
 REQUIRED_KEYS = ("doc_id", "source", "url", "title", "body_text", "fetched_at", "word_count", "char_count")
-
-FETCH_SCHEMA = T.StructType(
-    [
-        T.StructField("url", T.StringType()),
-        T.StructField("final_url", T.StringType()),
-        T.StructField("status_code", T.IntegerType()),
-        T.StructField("content_type", T.StringType()),
-        T.StructField("content_length", T.LongType()),
-        T.StructField("html", T.StringType()),
-        T.StructField("error", T.StringType()),
-    ]
-)

@@ -12,7 +12,9 @@ from pagemill.functions.text import SPACE, bind
 from pagemill.operators.upsert import last_by_key
 from pagemill.schema import DOCUMENT_SCHEMA, REQUIRED_KEYS
 
-_PERMISSIVE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+_PERMISSIVE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false"}
+# An object with nothing behind it: braces balance for the first time at the end. Strings are skipped.
+_STRING = r'"(?:[^"\\]|\\.)*+"'
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -26,7 +28,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
     ``malformed`` covers broken JSON, values that are no objects and fields of
     the wrong type; ``missing_key`` an absent required key (null is accepted).
-    Blank lines vanish.
+    Blank lines vanish, and blanks around a line do not count.
     """
     schema = T.StructType([*DOCUMENT_SCHEMA.fields, T.StructField("_corrupt", T.StringType())])
     defaults = {

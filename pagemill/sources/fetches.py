@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions.urls import normalize_url
-
-MAX_CONTENT_LENGTH = 5 * 1024 * 1024
 
 
 def fetches_from_pages(pages: DataFrame) -> DataFrame:
@@ -22,20 +19,22 @@ def fetches_from_pages(pages: DataFrame) -> DataFrame:
     )
 
 
-def judge_fetches(fetches: DataFrame) -> DataFrame:
+def judge_fetches(fetches: DataFrame, max_length: int = 5 * 1024 * 1024) -> DataFrame:
     """Final ``success``, ``status_code`` and ``error`` of each fetch attempt.
 
-    Without a response (null status) the status is 0 and the recorded error
-    stays. Otherwise the first that applies: status of 400 or more, a header
-    that is not HTML, a declared length over 5 MiB. A missing length passes.
+    Without a response (null status, or the 0 that stands for it) the status is 0
+    and the recorded error stays. Otherwise the first that applies: status of 400 or
+    more, a header that is not HTML, a declared length over ``max_length`` bytes. A
+    missing length passes. Judging twice changes nothing.
     """
+    # The texts of the outcomes.
     header = F.coalesce("content_type", F.lit(""))
     error = (
-        F.when(F.col("status_code").isNull(), F.coalesce("error", F.lit("no response")))
+        F.when(F.coalesce("status_code", F.lit(0)) == 0, F.coalesce("error", F.lit("no response")))
         .when(F.col("status_code") >= 400, F.concat(F.lit("HTTP "), F.col("status_code").cast("string")))
         .when(~F.contains(F.lower(header), F.lit("text/html")), F.concat(F.lit("non-HTML content type: "), header))
         .when(
-            F.col("content_length") > MAX_CONTENT_LENGTH,
+            F.col("content_length") > max_length,
             F.concat(F.lit("response too large: "), F.col("content_length").cast("string"), F.lit(" bytes")),
         )
     )
@@ -52,12 +51,3 @@ def judge_fetches(fetches: DataFrame) -> DataFrame:
         judged = judged.withColumn("html", F.when(F.col("success"), F.col("html")))
     return judged
 
-
-def successful_pages(fetches: DataFrame, key: str = "page_id") -> DataFrame:
-    """``(key, requested_url, url, html)`` of usable fetches; ``url`` is the final one."""
-    return judge_fetches(fetches).where(F.col("success")).select(
-        key,
-        normalize_url(F.col("url")).alias("requested_url"),
-        F.col("final_url").alias("url"),
-        "html",
-    )

@@ -1,14 +1,18 @@
 """Incremental ingest: a stream of pages into a keyed document store.
 
-Each micro-batch writes its own documents only, into a folder named after the
-batch, so its cost does not grow with the store and a replayed batch overwrites
-what it wrote before. Readers merge on read: the latest batch per id wins.
+Each micro-batch writes its own documents only, into a folder named after the query
+and the batch, so its cost does not grow with the store, a replayed batch overwrites
+what it wrote before, and several streams may feed one store. Rows carry the fetch
+time and page they come from; readers merge on read, and the latest fetch per id wins.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from pagemill.operators.upsert import last_by_key
@@ -16,38 +20,52 @@ from pagemill.plans.documents import build_documents
 from pagemill.schema import DOCUMENT_SCHEMA
 from pagemill.sources.collection import path_exists
 
+STORE_SCHEMA = T.StructType([*DOCUMENT_SCHEMA.fields, T.StructField("version_at", T.TimestampType()), T.StructField("version_page", T.LongType())])
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    """The latest fetch of each document; of one moment, the highest page id."""
+    return last_by_key(rows.withColumn("version", F.struct("version_at", "version_page")))
 
-def write_batch(pages: DataFrame, batch_id: int, store: str, **build) -> None:
-    """Documents of one batch of pages, idempotent per batch id."""
-    rows = build_documents(pages, keep=("page_id",), **build)
-    # Pages of a batch may share a canonical URL: the latest fetch, then id, stands.
-    newest = last_by_key(rows.withColumn("version", F.struct("fetched_at", "page_id")))
-    newest.select(*DOCUMENT_SCHEMA.names).write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+
+def write_batch(pages: DataFrame, run: str, batch_id: int, store: str, **build) -> None:
+    """Documents of one batch of pages, idempotent per run and batch id."""
+    kept = pages.withColumns({"version_at": F.col("fetched_at"), "version_page": F.col("page_id").cast("bigint")})
+    rows = build_documents(kept, keep=("version_at", "version_page"), **build)
+    _newest(rows).select(*STORE_SCHEMA.names).write.mode("overwrite").parquet(f"{store}/run={run}/batch={batch_id}")
 
 
 def ingest_stream(pages: DataFrame, store: str, checkpoint: str, **build) -> DataStreamWriter:
     """Writer that upserts a stream of ``(page_id, url, html, fetched_at)`` rows.
 
     Rows are windowed per page, which streams do not allow, hence ``foreachBatch``.
-    ``build`` goes to :func:`pagemill.plans.documents.build_documents`.
+    The run is the query's id, which its checkpoint keeps over restarts. ``build``
+    goes to :func:`pagemill.plans.documents.build_documents`.
     """
-    return pages.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda batch, batch_id: write_batch(batch, batch_id, store, **build)
-    )
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not run:
+            raise RuntimeError("the streaming query gives its batches no id")
+        write_batch(batch, run, batch_id, store, **build)
+
+    return pages.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+
+
+def _stored(spark: SparkSession, store: str) -> DataFrame:
+    layout = T.StructType([*STORE_SCHEMA.fields, T.StructField("run", T.StringType()), T.StructField("batch", T.LongType())])
+    if not path_exists(spark, store):
+        return spark.createDataFrame([], layout)
+    return spark.read.schema(layout).option("basePath", store).parquet(store)
 
 
 def read_store(spark: SparkSession, store: str) -> DataFrame:
     """Current documents of a store; empty when nothing was written yet."""
-    if not path_exists(spark, store):
-        return spark.createDataFrame([], DOCUMENT_SCHEMA)
-    rows = spark.read.option("basePath", store).parquet(store)
-    return last_by_key(rows, "doc_id", "batch").select(*DOCUMENT_SCHEMA.names)
+    return _newest(_stored(spark, store)).select(*DOCUMENT_SCHEMA.names)
 
 
 def compact(spark: SparkSession, store: str, target: str) -> None:
-    """Merge all batches into one batch of a new store."""
-    rows = spark.read.option("basePath", store).parquet(store)
-    last = rows.agg(F.max("batch")).first()[0]
-    last_by_key(rows, "doc_id", "batch").select(*DOCUMENT_SCHEMA.names).write.mode("overwrite").parquet(
-        f"{target}/batch={last}"
+    """Merge all batches into one of a new store; streams may go on with that store."""
+    _newest(_stored(spark, store)).select(*STORE_SCHEMA.names).write.mode("overwrite").parquet(
+        f"{target}/run=compact-{uuid.uuid4().hex}/batch=0"
     )
