@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.functions.text import SPACE, bind
+from pagemill.functions.text import bind, strip
 from pagemill.operators.upsert import last_by_key
 from pagemill.schema import DOCUMENT_SCHEMA, REQUIRED_KEYS
 
 _PERMISSIVE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false"}
-# An object with nothing behind it: braces balance for the first time at the end. Strings are skipped.
-_STRING = r'"(?:[^"\\]|\\.)*+"'
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -40,17 +36,19 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         value, doc, keys = line["value"], line["doc"], line["keys"]
         has = lambda name: F.coalesce(F.array_contains(keys, name), F.lit(False))
         missing = F.size(F.array_except(F.array(*[F.lit(k) for k in REQUIRED_KEYS]), F.coalesce(keys, F.array().cast("array<string>")))) > 0
-        broken = ~F.ltrim(value).startswith("{") | doc["_corrupt"].isNotNull()
+        # As the only element of an array: nothing may follow the object.
+        alone = F.coalesce(F.json_array_length(F.concat(F.lit("["), value, F.lit("]"))) == 1, F.lit(False))
+        broken = ~value.startswith("{") | ~alone | doc["_corrupt"].isNotNull()
         fields = [
             (F.when(~has(name), defaults[name]).otherwise(doc[name]) if name in defaults else doc[name]).alias(name)
             for name in DOCUMENT_SCHEMA.names
         ]
         reason = F.when(broken, F.lit("malformed")).when(missing, F.lit("missing_key"))
-        return F.when(value.rlike(f"[^{SPACE}]"), F.array(F.struct(*fields, reason.alias("skip_reason"), F.lit(True).alias("line"))))
+        return F.when(value != "", F.array(F.struct(*fields, reason.alias("skip_reason"), F.lit(True).alias("line"))))
 
     # Bound once per line: each line is parsed a single time, whatever is read of it.
     once = bind(
-        F.col("value"),
+        strip(F.col("value")),
         lambda v: bind(
             F.struct(v.alias("value"), F.from_json(v, schema, _PERMISSIVE).alias("doc"), F.json_object_keys(v).alias("keys")),
             judged,
@@ -64,7 +62,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Raw lines with their file and a position that orders them within the collection."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], "value string, file string, at struct<file:string,block:bigint,id:bigint>")
-    lines = spark.read.text(path)
+    lines = spark.read.text(current_path(spark, path))
     return lines.select(
         "value",
         F.col("_metadata.file_path").alias("file"),
@@ -88,44 +86,61 @@ def skip_report(parsed: DataFrame) -> DataFrame:
     )
 
 
+def skipped_lines(parsed: DataFrame) -> DataFrame:
+    """The skipped lines with their reason and text, and their file where lines were read from files."""
+    place = [name for name in ("file", "at") if name in parsed.columns]
+    return parsed.where(F.col("skip_reason").isNotNull()).select(*place, "skip_reason", "value")
+
+
 def load_strict(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Strict read: blank lines are skipped, bad JSON fails, duplicates stay.
 
     Without a schema the columns are inferred. An empty collection is an error.
     """
     reader = spark.read.option("mode", "FAILFAST")
-    df = (reader.schema(schema) if schema is not None else reader).json(path)
+    df = (reader.schema(schema) if schema is not None else reader).json(current_path(spark, path))
     if df.isEmpty():
         raise ValueError(f"no documents in {path}")
     return df
 
 
+def _children(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path, its Hadoop path and the numbers of the versions in it that were written to their end."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = []
+    if files.exists(target) and files.getFileStatus(target).isDirectory():
+        names = [entry.getPath().getName() for entry in files.listStatus(target)]
+    numbers = [int(name[2:]) for name in names if name.startswith("v=") and name[2:].isdigit()]
+    done = [n for n in numbers if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={n}/_SUCCESS"))]
+    return files, numbers, sorted(done)
+
+
+def current_path(spark: SparkSession, path: str) -> str:
+    """Where a collection's rows are: its newest complete version, or the path itself if it has no versions."""
+    path = path.rstrip("/")
+    _, _, done = _children(spark, path)
+    return f"{path}/v={done[-1]}" if done else path
+
+
 def save_documents(documents: DataFrame, path: str) -> int:
-    """Replace the collection at ``path``; an empty one writes nothing.
+    """Write a new version of the collection at ``path``; an empty one writes nothing.
 
-    Rows go to a new folder beside the target first, which then takes its place,
-    so a collection may be read, merged and saved back in one job. Nulls are
-    written and the field order is kept. Returns the number of rows.
+    Rows go to the folder ``v=<n>``, which counts from the moment its ``_SUCCESS`` marker
+    is there; nothing is renamed, and readers see the old version until then. So a
+    collection may be read, merged and saved back in one job. The version before is
+    kept, older ones go. Nulls are written and the field order is kept. Returns the
+    number of rows.
     """
-    spark = documents.sparkSession
-    staged = f"{path.rstrip('/')}.{uuid.uuid4().hex[:12]}"
+    spark, path = documents.sparkSession, path.rstrip("/")
+    files, numbers, done = _children(spark, path)
+    place = f"{path}/v={max(numbers, default=0) + 1}"
     counted = Observation("saved")
     rows = documents.select(*DOCUMENT_SCHEMA.names).observe(counted, F.count(F.lit(1)).alias("rows"))
-    rows.write.option("ignoreNullFields", "false").json(staged)
+    rows.write.option("ignoreNullFields", "false").json(place)
     written = counted.get["rows"]
-    jvm = spark._jvm
-    source, target = jvm.org.apache.hadoop.fs.Path(staged), jvm.org.apache.hadoop.fs.Path(path)
-    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if written == 0:
-        files.delete(source, True)
-        return 0
-    # The old rows stay until the new ones are in place.
-    if files.exists(target):
-        old = jvm.org.apache.hadoop.fs.Path(f"{staged}.old")
-        files.rename(target, old)
-        files.rename(source, target)
-        files.delete(old, True)
-    else:
-        files.mkdirs(target.getParent())
-        files.rename(source, target)
+    old = [place] if written == 0 else [f"{path}/v={n}" for n in done[:-1]]
+    for folder in old:
+        if not files.delete(spark._jvm.org.apache.hadoop.fs.Path(folder), True):
+            raise OSError(f"{folder} could not be deleted")
     return written

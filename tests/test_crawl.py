@@ -111,6 +111,48 @@ def test_run_expansion(spark, tmp_path):
     assert {r.url: r.title for r in load_documents(spark, config.output_path).collect()} == docs
 
 
+def test_the_latest_fetch_that_succeeded_counts(spark, tmp_path):
+    day = lambda n: dt.datetime(2026, 6, n)
+    rows = [
+        (1, "http://h.com/", 200, page("Home old", "/a"), None, day(1)), (2, "http://h.com/", 200, page("Home", "/a", "/b"), None, day(2)),
+        (3, "http://h.com/", 500, None, None, day(3)), (4, "http://h.com/a", 0, None, "request timed out", day(1)),
+        (5, "http://h.com/a?ref=x", 200, page("A"), None, day(2)), (6, "http://h.com/b", 404, None, None, day(1)), (7, "http://h.com/b", 500, None, None, day(2)),
+    ]
+    log = spark.createDataFrame(
+        [(i, u, u, status, "text/html" if status else None, None, html, error, at) for i, u, status, html, error, at in rows],
+        "page_id long, url string, final_url string, status_code int, content_type string, content_length long, html string, error string, fetched_at timestamp")
+    config = CrawlConfig("http://h.com", str(tmp_path / "out"), max_pages=10, max_depth=2)
+    walk, docs = run_expansion(config, log)
+    assert {r.url: r.title for r in docs.collect()} == {"http://h.com/": "Home", "http://h.com/a": "A"}
+    assert tuple(walk.counters().first()) == (3, 1, 2)
+
+
+def test_streams_share_a_store(spark, tmp_path):
+    """Two queries with batch ids of their own, a replay of the first one, and a compacted store that goes on."""
+    at, schema = dt.datetime(2026, 6, 1), "page_id long, url string, html string, fetched_at timestamp"
+    parts = {
+        "one": [(1, "http://h.com/a", page("A one"), at), (2, "http://h.com/b", page("B"), at)],
+        "two": [(3, "http://h.com/a", page("A two"), at + dt.timedelta(days=1)), (4, "http://h.com/c", page("C"), at)],
+    }
+    store = str(tmp_path / "store")
+
+    def feed(name, progress, store):
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / name))
+        ingest_stream(stream, store, str(tmp_path / progress), link_scope="raw").trigger(availableNow=True).start().awaitTermination()
+        return {r.url[-1]: r.title for r in read_store(spark, store).collect()}
+
+    for name, rows in parts.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / name))
+    assert feed("one", "p1", store) == {"a": "A one", "b": "B"}
+    both = {"a": "A two", "b": "B", "c": "C"}
+    assert feed("two", "p2", store) == both
+    assert feed("one", "p3", store) == both
+    small = str(tmp_path / "small")
+    compact(spark, store, small)
+    spark.createDataFrame([(9, "http://h.com/b", page("B new"), at + dt.timedelta(days=2))], schema).write.mode("append").parquet(str(tmp_path / "one"))
+    assert feed("one", "p1", small) == both | {"b": "B new"}
+
+
 def test_stream_equals_batch(spark, tmp_path):
     at = dt.datetime(2026, 6, 1)
     schema = "page_id long, url string, html string, fetched_at timestamp"
