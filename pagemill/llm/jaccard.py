@@ -7,11 +7,14 @@
 2. The shingles of a candidate are ordered by that number and by hash. A partner must
    share one of the first n - ceil(threshold * n) + 1, the prefix. Equal sets are one
    node; nodes of equal prefix and size are one group.
-3. Groups that share a prefix shingle are compared with the least group of the same size
-   class there, and members with the first of their group; exact overlaps give links.
+3. Groups that share a prefix shingle are compared with one group of the same size class
+   there, that with the fewest shingles of its own (copies have such where they were
+   changed, the text they come from has none), and members with the first of their
+   group; exact overlaps give links.
 4. Only where a shingle still joins different components, all remaining pairs of
-   members, filtered by size and by their positions in the prefix, are verified as well.
-   So no link between components is lost, and a large group costs its size, not pairs.
+   members in different ones, filtered by size and by their positions in the prefix, are
+   verified as well. So no link between components is lost, and a large group costs its
+   size times the number of its members that the first round left apart.
 
 Defined results: words are runs of anything but ASCII white space, with A-Z lowered; a
 text of fewer words than a shingle is one shingle; a text without words, or null, has
@@ -288,14 +291,14 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80, block_do
     groups = found.groupBy("n", "prefix_key").agg(F.min("rep").alias("gid"))
     sets = settle(found.join(groups, ["n", "prefix_key"]), "sets")
     places = sets.select("rep", "gid", "n", F.posexplode("prefix").alias("at", "token"), "singles")
-    places = settle(places.withColumn("left", F.col("n") - F.col("singles") - F.col("at")).drop("at", "singles"), "prefixes")
+    places = settle(places.withColumn("left", F.col("n") - F.col("singles") - F.col("at")).drop("at"), "prefixes")
 
     # ``left``: how many shingles, this one included, may still be shared.
     fits = f"{100 + percent} * least(x.left, y.left) >= {percent} * (x.n + y.n)"
     sized = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
     level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).cast("int")
     heads = places.filter("rep = gid").withColumn("level", level)
-    lead = heads.groupBy("token", "level").agg(F.min(F.struct("n", "rep", "left")).alias("s"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    lead = heads.groupBy("token", "level").agg(F.min(F.struct("singles", "n", "rep", "left")).alias("s"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     lead = lead.select("token", "level", "s.*")
     first = heads.alias("x").join(lead.alias("y"), ["token", "level"]).filter(f"x.rep <> y.rep AND {sized} AND {fits}")
     first = first.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
@@ -306,10 +309,13 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80, block_do
 
     # Where different components still meet.
     named = places.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_ = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
-    named = settle(named.join(open_, "token").select("token", "rep", "n", "left", "component"), "open")
-    rest = named.alias("x").join(named.alias("y"), "token").filter(f"x.component <> y.component AND x.rep < y.rep AND {sized} AND {fits}")
-    rest = rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    met = named.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"))
+    met = met.groupBy("token").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    named = settle(named.join(met.select("token", "main"), "token").select("token", "rep", "n", "left", "component", "main"), "open")
+    # One side of a pair is outside the component with most members there.
+    outside = named.filter("component <> main")
+    rest = outside.alias("x").join(named.alias("y"), "token").filter(f"x.component <> y.component AND {sized} AND {fits}")
+    rest = rest.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     more = settle(verify(settle(rest, "rest"), sets, percent), "links")
     parts = components(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
