@@ -46,7 +46,7 @@ _BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) *
 _STEP = 0x9E3779B97F4A7C15
 _MANY = 0xFFFF
 #: A block holds up to so many shingles (or the last document over that) and documents.
-_BLOCK_SHINGLES, _BLOCK_DOCS = 2_000_000, 60_000
+_BLOCK_SHINGLES, _BLOCK_DOCS = 500_000, 60_000
 
 
 @lru_cache(maxsize=4)
@@ -194,6 +194,7 @@ def _count_range(group: pa.Table) -> pa.Table:
             at = shared[cuts[k]:cuts[k + 1]]
             if len(at):
                 out.append((0, block, 0, _squeeze(every[at]), holder[at].tobytes(), np.minimum(held[at], (1 << 32) - 1).astype(np.uint32).tobytes()))
+    pa.default_memory_pool().release_unused()
     return _rows(out)
 
 
@@ -247,6 +248,7 @@ def _finish(percent: int):
             prefix = own[: int(sizes[k] - need[k]) + 1 - singles].astype(np.int64)
             key = base[2] if singles else xxhash.xxh3_128_digest(prefix.tobytes())
             out.append((*base, np.sort(own).tobytes(), singles, prefix, key))
+        pa.default_memory_pool().release_unused()
         columns = list(zip(*out, strict=True))
         return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, _SETS_ARROW, strict=True)], schema=_SETS_ARROW)
 
