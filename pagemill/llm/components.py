@@ -13,14 +13,16 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 
     Large: every node hangs its larger neighbours on its least neighbour (or itself).
     Small: every node hangs its smaller neighbours, and itself, on the least of them.
-    A node's least neighbour is summed up before any shuffle; the join back splits hot nodes.
+    A node's least neighbour is summed up before any shuffle, and written, so that the
+    join back has plain exchanges on both sides, in which Spark splits hot nodes.
     """
     if large:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        least = settle(least, "least")
         out = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = links.groupBy("u").agg(F.min("v").alias("m"))
+        least = settle(links.groupBy("u").agg(F.min("v").alias("m")), "least")
         out = links.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
         out = out.select("x.u", "x.v")
     return out.filter("u <> v").distinct()

@@ -290,7 +290,7 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80, block_do
     same = settle(rows.filter("tokens IS NOT NULL").groupBy("digest", "n").agg(F.min("doc_id").alias("rep")), "same")
     found = rows.filter("tokens IS NOT NULL").join(same.select("rep", F.col("digest").alias("_d"), F.col("n").alias("_n")), F.col("doc_id") == F.col("rep"))
     found = found.filter("digest = _d AND n = _n").dropDuplicates(["rep", "digest"]).drop("_d", "_n", "doc_id")
-    groups = found.groupBy("n", "prefix_key").agg(F.min("rep").alias("gid"))
+    groups = settle(found.groupBy("n", "prefix_key").agg(F.min("rep").alias("gid")), "groups")
     sets = settle(found.join(groups, ["n", "prefix_key"]), "sets")
     places = sets.select("rep", "gid", "n", F.posexplode("prefix").alias("at", "token"), "singles")
     places = settle(places.withColumn("left", F.col("n") - F.col("singles") - F.col("at")).drop("at"), "prefixes")
@@ -301,7 +301,8 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80, block_do
     level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).cast("int")
     heads = places.filter("rep = gid").withColumn("level", level)
     lead = heads.groupBy("token", "level").agg(F.min(F.struct("singles", "n", "rep", "left")).alias("s"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    lead = lead.select("token", "level", "s.*")
+    # Written, so that both sides of the join are plain exchanges, whose hot partitions Spark splits.
+    lead = settle(lead.select("token", "level", "s.*"), "lead")
     first = heads.alias("x").join(lead.alias("y"), ["token", "level"]).filter(f"x.rep <> y.rep AND {sized} AND {fits}")
     first = first.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
     first = first.unionByName(sets.filter("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b"))).distinct()
@@ -313,6 +314,7 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80, block_do
     named = places.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     met = named.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"))
     met = met.groupBy("token").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    met = settle(met, "met")
     named = settle(named.join(met.select("token", "main"), "token").select("token", "rep", "n", "left", "component", "main"), "open")
     # One side of a pair is outside the component with most members there.
     outside = named.filter("component <> main")
