@@ -19,8 +19,24 @@ FETCHED_AT = "2026-06-01T12:00:00Z"
 # Rewrites of a page, applied in order; the first entry leaves it as it is.
 PAGE_VARIANTS: tuple[tuple[tuple[str, str], ...], ...] = (
     (),
-    (("<article>", '<div class="post content">'), ("</article>", "</div>")),
-    (("</article>", "</article></section>"), ("<article>", "<section><article><p>Lead in</article><article>")),
+    (
+        ("<article>", '<div class="post content">'),
+        ("</article>", "</div>"),
+        # Links that lead nowhere, to the page, away and up, before each of its own.
+        ("<nav>", "<section>"),
+        ("</nav>", "</section>"),
+        (
+            '<a href="/',
+            '<a href="mailto:a@b.example">m</a><a href="#t">t</a><a href="JavaScript:x()">j</a><a href="">e</a>'
+            '<a href="https://other.example.org/z">o</a><a href="../up?q=1&amp;ref=n#f">u</a><a href="/',
+        ),
+    ),
+    (
+        ("</article>", "</article></section>"),
+        ("<article>", "<section><article><p>Lead in</article><article>"),
+        ("<title>", "<!--"),  # the first heading is the title
+        ("</title>", "-->"),
+    ),
     (("<article>", ""), ("</article>", ""), ('<div class="ad">', '<div class="ad Social-Box"><div>inner</div>')),
     (
         ("<nav>", "<section>"),
@@ -38,6 +54,8 @@ PAGE_VARIANTS: tuple[tuple[tuple[str, str], ...], ...] = (
         ("<article>", '<div id="main"><ul><li class="menu-item">skip<li>keep'),
         ("</article>", "</ul></div>"),
     ),
+    # Boilerplate all over: nothing is left.
+    (("<body>", '<body class="has-menu">'), ("<title>", "<!--"), ("</title>", "-->")),
 )
 
 # Tails put on a page's address, each for one rule of the canonical form.

@@ -20,8 +20,9 @@ from pagemill.operators.precision import extract_precise
 from pagemill.operators.sizing import checkpoint_folder, cut_lineage
 from pagemill.operators.upsert import last_by_key, upsert
 from pagemill.plans import quality, report
-from pagemill.plans.documents import build_documents
-from pagemill.sources.collection import parse_lines, skip_report
+from pagemill.plans.documents import build_documents, parse_pages
+from pagemill.schema import DOCUMENT_SCHEMA
+from pagemill.sources.collection import load_strict, parse_lines, save_documents, skip_report, skipped_lines
 from pagemill.sources.fetches import fetches_from_pages, judge_fetches
 from pagemill.streaming.ingest import ingest_stream, read_store
 
@@ -283,6 +284,25 @@ def collection_skips(spark, sf):
     return skip_report(parse_lines(_stored_lines(spark, sf)))
 
 
+@query
+def collection_skipped_lines(spark, sf):
+    """The skipped lines themselves; of their text the first character."""
+    return skipped_lines(parse_lines(_stored_lines(spark, sf)), "row_id").select("row_id", "skip_reason", F.substr("value", F.lit(1), F.lit(1)).alias("start"))
+
+
+@query
+def collection_roundtrip(spark, sf):
+    """The collection saved twice and read back strictly: the second version, duplicates included."""
+    path = f"{checkpoint_folder(spark)}/collection-{uuid.uuid4().hex}"
+    rows = inputs.collection(spark, sf)
+    save_documents(rows.limit(0).unionByName(rows.where("word_count < 50")), path)
+    save_documents(rows, path)
+    return load_strict(spark, path, DOCUMENT_SCHEMA).select(
+        "doc_id", "source", "url", "title", F.md5("body_text").alias("body"), "fetched_at", "word_count", "language", "text_to_html_ratio",
+        F.size("links_out_internal").cast("bigint").alias("links"),
+    )
+
+
 @query
 def contract_violations(spark, sf):
     """Broken rules per kind over the collection with defects put in by word count."""
@@ -380,6 +400,12 @@ def frontier_budget(spark, sf):
     return _walk(spark, sf, max_depth=6, max_pages=20).tasks.select("url", F.col("depth").cast("bigint").alias("depth"), "outcome")
 
 
+@query
+def frontier_whole(spark, sf):
+    """A walk that ends when nothing is left to reach."""
+    return _walk(spark, sf, max_depth=64).tasks.select("url", F.col("depth").cast("bigint").alias("depth"), "parent_url", "outcome")
+
+
 @query
 def run_counters(spark, sf):
     return _walk(spark, sf, max_depth=6, max_pages=15, existing_on_domain=5).counters()
@@ -393,6 +419,13 @@ def page_text_precision(spark, sf):
     return extract_precise(inputs.varied_pages(spark, sf)).select("page_id", "title", "body_text")
 
 
+@query
+def page_by_extractor(spark, sf):
+    """Parsed pages of the extractor called ``precision``, with all links of the page."""
+    parsed = parse_pages(inputs.pages(spark, sf), "precision")
+    return parsed.select("page_id", "url", "title", "body_text", F.array_join("links_internal", " ").alias("links"))
+
+
 @query
 def extract_score(spark, sf):
     rows = extract_fields(inputs.varied_pages(spark, sf))

@@ -86,10 +86,9 @@ def skip_report(parsed: DataFrame) -> DataFrame:
     )
 
 
-def skipped_lines(parsed: DataFrame) -> DataFrame:
-    """The skipped lines with their reason and text, and their file where lines were read from files."""
-    place = [name for name in ("file", "at") if name in parsed.columns]
-    return parsed.where(F.col("skip_reason").isNotNull()).select(*place, "skip_reason", "value")
+def skipped_lines(parsed: DataFrame, *place: str) -> DataFrame:
+    """The skipped lines with their reason and text, and where they are: the given columns, else file and position."""
+    return parsed.where(F.col("skip_reason").isNotNull()).select(*(place or ("file", "at")), "skip_reason", "value")
 
 
 def load_strict(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
