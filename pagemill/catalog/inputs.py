@@ -68,7 +68,13 @@ URL_TAILS = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; dealt into ``pagemill.catalog.spread`` partitions where the session sets that.
+
+    Meant for small files of one row group each, which a scan cannot split.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    spread = spark.conf.get("pagemill.catalog.spread", None)
+    return df.repartition(int(spread)) if spread else df
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -154,8 +154,7 @@ def url_admit(spark, sf):
 
 @query
 def url_reject_reasons(spark, sf):
-    judged = admit.admit_urls(_candidate_urls(spark, sf))
-    return judged.groupBy(F.coalesce("reject_reason", F.lit("admitted")).alias("reason")).agg(F.count(F.lit(1)).alias("urls"))
+    return admit.reject_counts(_candidate_urls(spark, sf))
 
 
 @query

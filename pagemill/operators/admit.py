@@ -62,6 +62,27 @@ def admit_urls(
     )
 
 
+def reject_counts(
+    urls: DataFrame,
+    seen: DataFrame | None = None,
+    prefix: str | None = None,
+    regex: str | None = None,
+) -> DataFrame:
+    """``(reason, urls)``: occurrences per reject reason, ``admitted`` for the rest.
+
+    The same as counting :func:`admit_urls`, from one pass: all but one occurrence of
+    a URL are duplicates, whichever comes first.
+    """
+    once = urls.groupBy("url").agg(F.count(F.lit(1)).alias("n"))
+    stored = F.lit(False)
+    if seen is not None:
+        once = once.join(seen.select("url").distinct().withColumn("_seen", F.lit(True)), "url", "left")
+        stored = F.coalesce("_seen", F.lit(False))
+    reason = F.when(stored, "duplicate").otherwise(F.coalesce(rule_violation(F.col("url"), prefix, regex), F.lit("admitted")))
+    parts = F.array(F.struct(reason.alias("reason"), F.lit(1).cast("bigint").alias("n")), F.struct(F.lit("duplicate").alias("reason"), (F.col("n") - 1).alias("n")))
+    return once.select(F.inline(parts)).groupBy("reason").agg(F.sum("n").alias("urls")).where("urls > 0")
+
+
 def admitted_urls(
     urls: DataFrame,
     seen: DataFrame,

@@ -106,7 +106,9 @@ def expand_links(
         level = global_rank(fresh.select("url", "at.*"), "parent_rank", "link_rank").select(
             "url", F.lit(depth + 1).alias("depth"), "parent_url", "rank"
         )
-        seen = cut_lineage(seen.unionByName(level.select("url")))
+        # Levels are written once each; what was seen is all of them together.
+        level = cut_lineage(level)
+        seen = seen.unionByName(level.select("url"))
     if done is None:
         done = level.where(F.lit(False)).withColumn("outcome", F.lit("failed"))
     return Expansion(done)

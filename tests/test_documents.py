@@ -101,6 +101,14 @@ def test_admission(spark):
     assert admit.seen_count(urls, seen).first()[0] == len({u for u, _ in URLS})
 
 
+def test_reject_counts_equal_the_judged_rows(spark):
+    urls = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(URLS)], "rank int, url string")
+    seen = spark.createDataFrame([("https://delta.example.org/stored",), ("https://delta.example.org/log/7",)], "url string")
+    for stored in (None, seen):
+        rows = admit.admit_urls(urls, stored).groupBy(F.coalesce("reject_reason", F.lit("admitted"))).count().collect()
+        assert sorted(map(tuple, admit.reject_counts(urls, stored).collect())) == sorted(map(tuple, rows))
+
+
 def test_admission_prefix_and_regex(spark):
     urls = spark.createDataFrame([(1, "https://delta.example.org/Guides/locks"), (2, "https://delta.example.org/log/2024/flood")], "rank int, url string")
     by = lambda **rule: [r.reject_reason for r in admit.admit_urls(urls, **rule).orderBy("rank").collect()]
