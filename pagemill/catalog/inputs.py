@@ -188,3 +188,44 @@ def link_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     edges = nodes.select("url", F.posexplode(targets).alias("rank", "target"))
     links = edges.join(ids.select(F.col("page_id").alias("target"), F.col("url").alias("link")), "target")
     return outcomes, links.select("url", "rank", "link")
+
+
+def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetch attempts of one made-up site over the given pages.
+
+    Page ``i`` is ``/p/<i>`` and links to ``/p/<2i+1>`` and ``/p/<2i+2>``. Some pages are
+    missing or time out, every third one was also fetched a day before under another
+    title, every fifth one failed a day later, and every fourth one redirects.
+    """
+    i = F.col("page_id")
+    anchors = F.concat(
+        F.lit('<article><a href="/p/'), (i * 2 + 1).cast("string"), F.lit('">one</a> <a href="/p/'), (i * 2 + 2).cast("string"),
+        F.lit('?utm_source=x#top">two</a> <a href="/p/1.pdf">no</a> <a href="mailto:a@b.example">no</a>'),
+    )
+    status = F.when((i > 0) & (i % 7 == 6), 404).when((i > 0) & (i % 13 == 12), F.lit(None).cast("int")).otherwise(200)
+    day = F.expr("INTERVAL 1 DAY")
+    moment = F.to_timestamp(F.lit(FETCHED_AT))
+
+    def attempt(number: int, at: Column, code: Column, html: Column) -> Column:
+        return F.struct(F.lit(number).alias("number"), at.alias("fetched_at"), code.cast("int").alias("status_code"), html.alias("html"))
+
+    attempts = F.array_compact(
+        F.array(
+            attempt(0, moment, status, F.col("html")),
+            F.when(i % 3 == 0, attempt(1, moment - day, F.lit(200), F.replace("html", F.lit("<title>"), F.lit("<title>Old ")))),
+            F.when(i % 5 == 0, attempt(2, moment + day, F.lit(500), F.lit(None).cast("string"))),
+        )
+    )
+    address = F.concat(F.lit("https://site.example.com/p/"), i.cast("string"))
+    rows = table(spark, sf_dir, "pages").withColumn("html", F.replace("html", F.lit("<article>"), anchors))
+    return rows.select("page_id", F.inline(attempts)).select(
+        (i * 10 + F.col("number")).alias("page_id"),
+        address.alias("url"),
+        F.when(i % 4 == 1, F.concat(address, F.lit("/index.html"))).otherwise(address).alias("final_url"),
+        "status_code",
+        F.lit("text/html").alias("content_type"),
+        F.lit(None).cast("bigint").alias("content_length"),
+        "html",
+        F.when(F.col("status_code").isNull(), "request timed out").alias("error"),
+        "fetched_at",
+    )

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.catalog import inputs
+from pagemill.config import CrawlConfig
 from pagemill.functions import markup, text
 from pagemill.functions.entities import decode_entities
 from pagemill.functions.urls import document_id, normalize_url, resolve_url, url_domain, url_error, url_path
@@ -20,7 +21,7 @@ from pagemill.operators.precision import extract_precise
 from pagemill.operators.sizing import checkpoint_folder, cut_lineage
 from pagemill.operators.upsert import last_by_key, upsert
 from pagemill.plans import quality, report
-from pagemill.plans.documents import build_documents, parse_pages
+from pagemill.plans.documents import build_documents, parse_pages, run_expansion
 from pagemill.schema import DOCUMENT_SCHEMA
 from pagemill.sources.collection import load_strict, parse_lines, save_documents, skip_report, skipped_lines
 from pagemill.sources.fetches import fetches_from_pages, judge_fetches
@@ -410,6 +411,16 @@ def run_counters(spark, sf):
     return _walk(spark, sf, max_depth=6, max_pages=15, existing_on_domain=5).counters()
 
 
+@query
+def crawl_job(spark, sf):
+    """The whole job: a walk over a fetch log, merged into a stored collection; the collection afterwards."""
+    path = f"{checkpoint_folder(spark)}/crawl-{uuid.uuid4().hex}"
+    save_documents(inputs.collection(spark, sf).where("row_id % 100 = 3").drop("row_id"), path)
+    config = CrawlConfig("https://site.example.com/p/0", path, max_pages=10**9, max_depth=64)
+    _, documents = run_expansion(config, inputs.fetch_log(spark, sf))
+    return documents.select("doc_id", "url", "title", "fetched_at", F.size("links_out_internal").cast("bigint").alias("links"))
+
+
 # --- second extractor and scores ------------------------------------------
 
 
