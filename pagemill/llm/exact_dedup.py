@@ -80,11 +80,12 @@ def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    """The documents that stay, with their columns."""
-    stay = deduplicate(docs, index).filter("kept").select(F.col("doc_id").alias("_stay"), F.col("digest").alias("_digest"))
+    """The documents that stay, with their columns. The one exchange of the texts serves the join and repeated rows."""
+    name = F.coalesce(F.col("doc_id").cast("bigint").cast("string"), F.lit(""))  # for a null id
+    stay = deduplicate(docs, index).filter("kept").select(name.alias("_name"), F.col("digest").alias("_digest"))
     text = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    found = docs.withColumn("_of", text).join(stay, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_stay")) & (F.col("_of") == F.col("_digest")))
-    return found.dropDuplicates(["_stay", "_digest"]).select(*docs.columns)
+    found = docs.withColumns({"_name": name, "_digest": text}).join(stay, ["_name", "_digest"])
+    return found.dropDuplicates(["_name", "_digest"]).select(*docs.columns)
 
 
 SQL = """

@@ -334,6 +334,12 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80, block_do
 
 
 def drop_linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that are the first of their component, with their columns; a repeated id once."""
-    found = link_components(docs, words, percent).filter("doc_id IS NULL OR component_id = doc_id").select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(found, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_stay"))).drop("_stay").dropDuplicates(["doc_id"])
+    """The documents that are the first of their component, with their columns.
+
+    An id stays once; without an id, each different text does. The one exchange of the
+    texts serves the join and repeated rows.
+    """
+    name = F.coalesce(F.col("doc_id").cast("bigint").cast("string"), F.lit(""))
+    found = link_components(docs, words, percent).filter("doc_id IS NULL OR component_id = doc_id").select(name.alias("_name")).distinct()
+    marks = {"_name": name, "_text": F.when(F.col("doc_id").isNull(), F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))}
+    return docs.withColumns(marks).join(found, "_name").dropDuplicates(["_name", "_text"]).select(*docs.columns)

@@ -116,9 +116,12 @@ def test_hashes_follow_the_words():
 
 def test_first_of_each_component_stays(spark):
     rows = [*near_copies(random.Random(11), 20, 5), (9000, None), (9001, "")]
-    out = jaccard.drop_linked(frame(spark, rows))
+    extra = [(None, "a b c d e"), (None, "a b c d e"), (None, "other"), (9001, "")]
+    out = jaccard.drop_linked(frame(spark, [*rows, *extra]))
     assert out.columns == frame(spark, rows[:1]).columns
-    assert sorted(r.doc_id for r in out.collect()) == sorted(set(plain_components(rows).values()))
+    got = out.collect()
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == sorted(set(plain_components(rows).values()))
+    assert sorted(r.text for r in got if r.doc_id is None) == ["a b c d e", "other"]
 
 
 def test_chains_stars_and_loops(spark):
