@@ -171,11 +171,12 @@ def extract_fields(
 ) -> DataFrame:
     """Title, main text, metadata and HTML length per page that has any text.
 
-    ``keep`` passes page columns on. With ``links`` there are also the page's internal
+    ``keep`` passes page columns on; they meet the result by key and do not travel
+    with the page, whose exchange both of its readers share. With ``links`` there are also the page's internal
     links after boilerplate removal, as :func:`page_links` finds them, from the same
-    structure and without a further exchange; ``keep`` must then have ``url``.
+    structure and without a further exchange of pages; ``keep`` must then have ``url``.
     """
-    spread = copartitioned(pages, key, (key, "html", *keep))
+    spread = copartitioned(pages, key, (key, "html"))
     layout = page_layout(spread, key, anchors=links).hint("shuffle_hash")
     no_spans = F.array().cast("array<struct<start:int,end:int,parent:int,parent_end:int,selectors:array<int>>>")
     joined = spread.join(layout, key, "left")
@@ -209,7 +210,9 @@ def extract_fields(
         markup.tokens(F.col("html")),
         lambda toks: text.bind(visible_text(toks, F.col("cuts")), lambda runs: cut(toks, runs)),
     )
-    found = joined.select(key, *keep, *(["anchors"] if links else []), F.inline_outer(fields)).where(F.col("body_text").isNotNull())
+    found = joined.select(key, *(["anchors"] if links else []), F.inline_outer(fields)).where(F.col("body_text").isNotNull())
+    if keep:
+        found = found.join(pages.select(key, *keep).hint("shuffle_hash"), key)
     if not links:
         return found
     home = F.lit(seed_domain) if seed_domain is not None else url_domain(F.col("url"))

@@ -3,8 +3,11 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from pagemill.operators.elements import CONTENT_NAMES, NOISE_PATTERN, NOISE_TAGS
-from pagemill.operators.extract import copartitioned, extract_fields, page_layout
+from pagemill.operators.extract import copartitioned, extract_fields, page_layout, page_links
+from pagemill.plans.documents import parse_pages
 
 NOISE = re.compile(NOISE_PATTERN)
 BLOCKS = ["div", "div", "div", "section", "article", "main", "nav", "footer", "aside", "header", "noscript", "ul"]
@@ -92,3 +95,17 @@ def test_one_exchange_serves_all_windows(spark, tmp_path):
         made = [line for line in plan.split("\n") if "Exchange hashpartitioning(page_id" in line and "ReusedExchange" not in line]
         assert len(made) == 1
         assert "Python" not in plan
+
+
+def test_pages_with_links_are_exchanged_once_and_for_raw_links_not_at_all(spark, tmp_path):
+    spark.createDataFrame([(1, "http://h.com/", "<p>x</p>")], "page_id long, url string, html string").write.parquet(str(tmp_path / "p"))
+    pages = spark.read.parquet(str(tmp_path / "p")).withColumn("fetched_at", F.current_timestamp())
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        parsed, raw = (df._jdf.queryExecution().executedPlan().toString() for df in (parse_pages(pages), page_links(pages, scope="raw")))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    # Besides the pages, only their addresses move.
+    made = [line for line in parsed.split("\n") if "Exchange hashpartitioning(" in line and "ReusedExchange" not in line]
+    assert sorted("REPARTITION_BY_COL" in line for line in made) == [False, True]
+    assert "REPARTITION_BY_COL" not in raw and raw.count("Exchange") == 1
