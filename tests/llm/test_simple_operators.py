@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import string
 import zlib
 
 import public_tokenizers
@@ -65,6 +66,32 @@ def test_novelty_falls_when_the_text_around_repeats_the_string():
     assert secrets.novelty(key, "") > 0.9 > secrets.novelty(key, f"before {key} behind")
 
 
+@pytest.mark.parametrize("alphabet", ["0123456789", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", string.ascii_letters,
+                                      string.ascii_letters + string.digits + "+/"])
+@pytest.mark.parametrize("length", [48, 64, 128, 200, 512, 5000])
+def test_random_keys_are_novel_whatever_their_length_and_alphabet(alphabet, length):
+    dice = random.Random(length)
+    for _ in range(4):
+        text = f"auth uses {''.join(dice.choices(alphabet, k=length))} as given"
+        assert secrets.novel_spans(text, [], 0.9) == [(10, 10 + length, "novel")]
+
+
+@pytest.mark.parametrize("gap", [0, 24, 40, 46])
+def test_candidates_start_anywhere_in_reach(gap):
+    key = "Zk9vQ2xT7mB4wR1yH6nD"
+    text = "auth " + "." * gap + " " + key + " end"
+    assert secrets.novel_spans(text, [], 0.9) == [(6 + gap, 26 + gap, "novel")]
+    assert secrets.novel_spans("auth " + "." * 48 + " " + key, [], 0.9) == []
+
+
+def test_keys_without_digits_are_told_from_words():
+    dice = random.Random(4)
+    keys = ["".join(dice.choices(a, k=n)) for a in (string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters) for n in (24, 32, 64) for _ in range(5)]
+    assert all(secrets.novel_spans(f"bearer {key} x", [], 0.9) == [(7, 7 + len(key), "novel")] for key in keys)
+    for word in ("responsibilities", "Donaudampfschifffahrtsgesellschaft", "DATABASE_CONNECTION_TIMEOUT", "anticonstitutionnellement", "=" * 40):
+        assert secrets.novel_spans(f"auth of {word} here", [], 0.9) == []
+
+
 def test_language(spark):
     words = {"en": "the house and the river with many old stones", "fr": "la maison et le fleuve avec beaucoup de pierres",
              "de": "das haus und der fluss mit vielen alten steinen"}
