@@ -2,8 +2,10 @@
 
 A text is normalised (case, punctuation, copyright lines, equivalent spellings, white
 space) and hashed as a whole; the digest is joined to those of known licence texts,
-which went through the same normalisation. The same is done for each line, so that a
-licence statement within a longer text is found as well. Nothing is compared by parts.
+which went through the same normalisation. The same is done for each line and for each
+run of whole lines (but all of them) that begins like a known text and is as long, so that a licence or a
+statement within a longer text is found as well, however it is wrapped. Nothing is
+compared by parts. The known texts are few: their digests go to every task.
 
 Defined results: a null text is empty, and an empty text (or one that normalises to
 nothing) has no licence. Rows that repeat doc_id and text give one row. A digest that
@@ -13,6 +15,14 @@ and text are read.
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import defaultdict
+from collections.abc import Iterator
+from itertools import product
+from pathlib import Path
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,19 +70,96 @@ def canonical(text: Column) -> Column:
     return F.btrim(out, F.lit(" \n"))
 
 
+# Full texts as their publishers give them, one file for each licence, and the title lines that usually stand above those without one.
+TEXTS = Path(__file__).parent / "license_texts"
+TITLES = {
+    "MIT": ("MIT", "MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+    "ISC": ("ISC", "ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License", "The zlib/libpng License (Zlib)"),
+    "0BSD": ("0BSD", "Zero-Clause BSD", "BSD Zero Clause License", "BSD Zero Clause License (0BSD)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", "Simplified BSD License", "BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", "New BSD License", "BSD License"),
+    "Unlicense": ("Unlicense", "The Unlicense"),
+}
+# Wordings in use beside that of the text: (licence, words, other words). All combinations count.
+WORDINGS = (
+    ("MIT", "and this permission notice shall", "and this permission notice (including the next paragraph) shall"),
+    ("ISC", "and/or distribute", "and distribute"),
+    ("BSD", "PROVIDED BY THE COPYRIGHT HOLDERS AND", "PROVIDED BY THE COPYRIGHT HOLDER AND"),
+    ("BSD", "SHALL THE COPYRIGHT HOLDER OR", "SHALL THE COPYRIGHT HOLDERS OR"),
+    ("BSD", "SHALL THE COPYRIGHT HOLDER OR", "SHALL THE COPYRIGHT OWNER OR"),
+    ("BSD", "1. Redist|2. Redist|3. Neither", "Redist|Redist|Neither"),
+    ("BSD-3", "Neither the name of the copyright holder nor the names of its", "The names of its"),
+    ("BSD-3", "Neither the name of the copyright holder nor", "Neither the names of the copyright holders nor"),
+    ("BSD-3", "Neither the name of the copyright holder nor", "Neither the name of the copyright owner nor"),
+)
+_TERMS_END = "END OF TERMS AND CONDITIONS"
+
+
+def _wordings(name: str, text: str) -> set[str]:
+    texts, flat = {text}, " ".join(text.split())  # texts with other wordings hold no copyright lines
+    choices = [(a, b) for start, a, b in WORDINGS if name.startswith(start) and all(x in flat for x in a.split("|"))]
+    for taken in product((False, True), repeat=len(choices)) if choices else ():
+        other = flat
+        for (old, new), use in zip(choices, taken, strict=True):
+            for x, y in zip(old.split("|"), new.split("|"), strict=True):
+                other = other.replace(x, y) if use else other
+        texts.add(other)
+    return texts
+
+
+def full_licenses() -> list[tuple[str, str]]:
+    """(license_id, text) of the full licences: other wordings, with titles, and without what follows the terms."""
+    files = [(path.stem, path.read_text("utf-8")) for path in sorted(TEXTS.glob("*.txt"))]
+    out = set()
+    for name, text in [*files, *((a, b) for a, b in KNOWN if a in ("MIT", "ISC", "Zlib") and "\n" in b)]:
+        bodies = _wordings(name, text)
+        if _TERMS_END in text:
+            end = text.index(_TERMS_END)
+            bodies |= {text[:end], text[:end] + _TERMS_END}
+        out |= {(name, f"{title}\n\n{body}".lstrip("\n")) for body in bodies for title in ("", *TITLES.get(name, ()))}
+    return sorted(out)
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(KNOWN), "license_id string, text string")
+    return spark.createDataFrame([*KNOWN, *full_licenses()], "license_id string, text string")
+
+
+def _runs(heads: dict[str, list[int]], width: int):
+    """Digests of the runs of whole lines that begin with a head and have one of its lengths."""
+    start = re.compile("\n(?=(" + "|".join(re.escape(h).replace("\\ ", "[ \n]") for h in sorted(heads)) + "))")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for body in batch.column("body").to_pylist():
+                flat, some = None, set()
+                for m in start.finditer("\n" + body) if heads else ():
+                    flat = flat or body.replace("\n", " ")
+                    at = m.start()  # in the body, which has no line break before it
+                    for n in heads[flat[at:at + width]]:
+                        if at + n <= len(body) and n < len(body) and body[at + n:at + n + 1] in ("", "\n"):
+                            some.add(hashlib.sha256(flat[at:at + n].encode()).hexdigest())
+                found.append(sorted(some))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("body"), pa.array(found, type=pa.list_(pa.string()))], names=["doc_id", "body", "runs"])
+
+    return find
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """doc_id, text_digest, license_id (of the whole text, null if unknown), statements (licences of single lines, comma-joined)."""
+    """doc_id, text_digest, license_id (of the whole text, null if unknown), statements (licences of runs of whole lines, comma-joined)."""
     whole = lambda c: F.sha2(F.replace(c, F.lit("\n"), F.lit(" ")).cast("binary"), 256)
-    digests = (
-        known.select("license_id", whole(canonical(F.col("text"))).alias("unit")).filter(F.col("unit") != F.sha2(F.lit("").cast("binary"), 256)).distinct()
-    )
+    texts = known.select("license_id", F.replace(canonical(F.col("text")), F.lit("\n"), F.lit(" ")).alias("flat")).filter("flat <> ''").distinct().collect()
+    width = min([24, *(len(r.flat) for r in texts)])
+    heads = defaultdict(set)
+    for r in texts:
+        heads[r.flat[:width]].add(len(r.flat))
+    units = [(r.license_id, hashlib.sha256(r.flat.encode()).hexdigest()) for r in texts]
+    digests = known.sparkSession.createDataFrame(units, "license_id string, unit string")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), canonical(F.col("text")).alias("body"))
-    rows = rows.select("doc_id", whole(F.col("body")).alias("text_digest"), F.split("body", "\n").alias("lines"))
-    units = F.concat(F.array("text_digest"), F.transform("lines", lambda x: F.sha2(x.cast("binary"), 256)))
+    rows = rows.mapInArrow(_runs({h: sorted(n) for h, n in heads.items()}, width), "doc_id bigint, body string, runs array<string>")
+    rows = rows.select("doc_id", whole(F.col("body")).alias("text_digest"), F.split("body", "\n").alias("lines"), "runs")
+    units = F.concat(F.array("text_digest"), F.transform("lines", lambda x: F.sha2(x.cast("binary"), 256)), "runs")
     found = rows.select("doc_id", "text_digest", F.posexplode(units).alias("place", "unit")).join(digests, "unit", "left")
     named = lambda test: F.array_join(F.array_sort(F.collect_set(F.when(test, F.col("license_id")))), ",")
     return found.groupBy("doc_id", "text_digest").agg(
@@ -91,7 +178,7 @@ def _sql(text: str) -> str:
 
 
 def sql() -> str:
-    """The same in DuckDB."""
+    """The scan for the statements and texts of ``KNOWN``, line by line, in DuckDB."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     values = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in KNOWN)
     return f"""

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import textwrap
 
 import duckdb
 import numpy as np
@@ -129,6 +130,21 @@ def test_views_teach_each_other():
     assert not np.allclose(model.text, alone.text)
 
 
+def test_full_licenses_with_titles_and_within_longer_texts(spark):
+    known, full = dict(reversed(licenses.KNOWN)), {p.stem: p.read_text() for p in licenses.TEXTS.glob("*.txt")}
+    full |= {name: known[name] for name in ("MIT", "Zlib")}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "Unlicense"} < set(full)
+    names = sorted(full)
+    mit = "MIT License\n\nCopyright (c) 2020 Somebody\n\n" + "\n\n".join(textwrap.fill(part, 70) for part in known["MIT"].split("\n\n"))
+    starred = full["BSD-3-Clause"].replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ")
+    further = [mit, "A program.\n\n## Licence\n\n" + mit + "\n\nThanks\nto all.", "BSD 3-Clause License\n\n" + starred, "Licensed under the Apache License,\nVersion 2.0.", "x\n" + mit]
+    rows = [(i, full[n], None) for i, n in enumerate(names)] + [(100 + i, t, None) for i, t in enumerate(further)]
+    got = {r.doc_id: r for r in licenses.scan_licenses(frame(spark, rows), licenses.known_licenses(spark)).collect()}
+    assert [got[i].license_id for i in range(len(names))] == names
+    assert [(got[100 + i].license_id, got[100 + i].statements) for i in range(5)] == [
+        ("MIT", "MIT"), (None, "MIT"), ("BSD-3-Clause", "BSD-3-Clause"), ("Apache-2.0", ""), (None, "MIT")]
+
+
 def test_licenses(spark):
     mit = dict(licenses.KNOWN)["Zlib"]
     text = "Copyright (c) 1999 A. Person\nAll rights reserved.\n\n" + mit.upper().replace("\n\n", "\n \t\n")
