@@ -1,6 +1,6 @@
 """Licence scan by canonical digests.
 
-A text is normalised (case, punctuation, copyright lines, equivalent spellings, white
+A text is normalised (case, punctuation, copyright notices, equivalent spellings, white
 space) and hashed as a whole; the digest is joined to those of known licence texts,
 which went through the same normalisation. The same is done for each line and for each
 run of whole lines (but all of them) that begins like a known text and is as long, so that a licence or a
@@ -56,6 +56,17 @@ SPELLINGS = (
 )
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _COPYRIGHT = r"\n[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+# A notice: a line of copyright or a sign with a year, a further sign or a place for one; or, where a paragraph or a
+# notice stands before it, with a holder, which begins with none of the words that follow copyright in licences.
+_NOTICE = (
+    r"\n[^a-z0-9\n]*(?:all rights reserved|©|(?:copyright|\(c\))[^a-z0-9\n]*(?:(?:by|years?)[^a-z0-9\n]+)?"
+    r"(?:©|(?<=\()c\)|\bcopyright|(?:\d{4}|yyyy|year)(?![a-z0-9])|[\[<{][^\n]*[\]>}]))[^\n]*"
+)
+_HOLDER = (
+    r"(?:\G|\n[^a-z0-9\n]*)\n[^a-z0-9\n]*copyright[^a-z0-9\n]+(?:by[^a-z0-9\n]+)?"
+    r"(?!(?:notices?|holders?|owners?|licen[cs]es?|laws?|statements?|interests?|protections?|patents?|treat(?:y|ies)|permissions?|ownership|claims?|infringements?|"
+    r"disclaimers?|rights?|and|or|in|on|of|to|for|as|is|are|was|act|may|shall|must|will|that|which|this|these|with|under|from)(?![a-z0-9]))[a-z0-9][^\n]*"
+)
 _PUNCTUATION = r"[\x00-\x09\x0b-\x20!-/:-@\[-`{-~“”‘’–—…«»]+"
 _BREAKS = r" ?\n[ \n]*"
 
@@ -65,7 +76,7 @@ def canonical(text: Column) -> Column:
     out = F.translate(F.concat(F.lit("\n"), F.coalesce(text, F.lit(""))), _UPPER, _LOWER)
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(old), F.lit(new))
-    for pattern, new in ((_COPYRIGHT, "\n"), (_PUNCTUATION, " "), (_BREAKS, "\n")):
+    for pattern, new in ((_NOTICE, "\n"), (_HOLDER, "\n"), (_PUNCTUATION, " "), (_BREAKS, "\n")):
         out = F.regexp_replace(out, pattern, new)
     return F.btrim(out, F.lit(" \n"))
 

@@ -145,6 +145,34 @@ def test_full_licenses_with_titles_and_within_longer_texts(spark):
         ("MIT", "MIT"), (None, "MIT"), ("BSD-3-Clause", "BSD-3-Clause"), ("Apache-2.0", ""), (None, "MIT")]
 
 
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR
+ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
+ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR
+IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+
+
+def test_wrapped_licenses_keep_their_lines_and_lose_their_notices(spark):
+    notices = ("Copyright (c) 2020 A. Person", "(c) 1999-2001 A. Person", "Copyright © A. Person", "© A. Person", "Copyright A. Person", "Copyright 2020 A\nCopyright by B\nCopyright C Inc.",
+               "Copyright The Authors\nAll rights reserved.", "Copyright (c) <year> <copyright holders>", "Copyright [yyyy] [name of copyright owner]", "# Copyright (C) A. Person", "Copyright" + " x" * 5000,
+               "\n".join(["Copyright Holder Inc"[:10] + "Somebody"] * 5000))
+    mit = dict(reversed(licenses.KNOWN))["MIT"]
+    full = {p.stem: p.read_text() for p in licenses.TEXTS.glob("*.txt")}
+    rows = [(i, f"ISC License\n\n{n}\n\n{ISC}", "ISC") for i, n in enumerate(notices)]
+    rows += [(100 + w, "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + "\n\n".join(textwrap.fill(p, w) for p in mit.split("\n\n")), "MIT") for w in range(40, 100)]
+    rows += [(200 + w, "Copyright A. Person\n\n" + "\n\n".join(textwrap.fill(p, w) for p in full["BSD-3-Clause"].split("\n\n")), "BSD-3-Clause") for w in range(40, 100)]
+    rows += [(300, full["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2020 A. Person"), "Apache-2.0")]
+    rows += [(301, "\n\n".join(textwrap.fill(p, 60) for p in full["Apache-2.0"].split("\n\n")), "Apache-2.0")]
+    got = {r.doc_id: r.license_id for r in licenses.scan_licenses(frame(spark, rows), licenses.known_licenses(spark)).collect()}
+    assert got == {i: name for i, _, name in rows}
+
+
 def test_licenses(spark):
     mit = dict(licenses.KNOWN)["Zlib"]
     text = "Copyright (c) 1999 A. Person\nAll rights reserved.\n\n" + mit.upper().replace("\n\n", "\n \t\n")
