@@ -172,6 +172,16 @@ def collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def visited_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole collection, where every third row has the address of page ``row_id`` of the site of ``fetch_log``."""
+    i = F.col("row_id")
+    page = F.concat(F.lit("https://site.example.com/p/"), i.cast("string"), F.when(i % 4 == 1, "/").otherwise(""))
+    rows = collection(spark, sf_dir).withColumns(
+        {"url": F.when(i % 3 == 0, page).otherwise(F.col("url")), "source": F.when(i % 3 == 0, "site.example.com").otherwise(F.col("source"))}
+    )
+    return rows.withColumn("doc_id", document_id(F.col("url"))).drop("row_id")
+
+
 def link_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Outcomes and links of a made-up site over the given pages.
 

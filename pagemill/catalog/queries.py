@@ -421,6 +421,16 @@ def crawl_job(spark, sf):
     return documents.select("doc_id", "url", "title", "fetched_at", F.size("links_out_internal").cast("bigint").alias("links"))
 
 
+@query
+def crawl_job_whole(spark, sf):
+    """The whole job on the whole collection, a third of whose addresses are the site's: the walk refreshes those it reaches."""
+    path = f"{checkpoint_folder(spark)}/crawl-{uuid.uuid4().hex}"
+    save_documents(inputs.visited_collection(spark, sf), path)
+    config = CrawlConfig("https://site.example.com/p/0", path, max_pages=10**9, max_depth=64, resume=False)
+    _, documents = run_expansion(config, inputs.fetch_log(spark, sf))
+    return documents.select("doc_id", "url", "title", "fetched_at", F.size("links_out_internal").cast("bigint").alias("links"))
+
+
 # --- second extractor and scores ------------------------------------------
 
 

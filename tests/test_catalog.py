@@ -7,8 +7,10 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from __spark_entry__ import oracle_sql, queries
+from pagemill.catalog import inputs
 from pagemill.catalog.oracle import all_sql
 from pagemill.catalog.queries import all_queries
 
@@ -31,6 +33,16 @@ def sql_engine():
     return engine
 
 
+def test_the_whole_crawl_replaces_stored_documents(spark, sql_engine):
+    test_same_rows(spark, sql_engine, "crawl_job_whole")
+    stored = inputs.visited_collection(spark, FOLDER).select("url", "title").distinct()
+    after = queries()["crawl_job_whole"](spark, FOLDER).select("url", F.col("title").alias("new"))
+    both = stored.join(after, "url")
+    assert both.select("url").distinct().count() == stored.select("url").distinct().count()
+    assert 0 < both.where("new <> title").count() < both.count()
+    assert after.count() > stored.select("url").distinct().count()
+
+
 def test_every_query_has_sql():
     assert set(all_queries()) == set(all_sql())
 
