@@ -16,6 +16,9 @@
    verified as well. So no link between components is lost, and a large group costs its
    size times the number of its members that the first round left apart.
 
+The result is components, not pairs: links that join no components are not all verified,
+and none is listed or counted.
+
 Defined results: words are runs of anything but ASCII white space, with A-Z lowered; a
 text of fewer words than a shingle is one shingle; a text without words, or null, has
 none and is alone. Rows that share a doc_id are one node of the graph per text: they
