@@ -130,6 +130,17 @@ def test_views_teach_each_other():
     assert not np.allclose(model.text, alone.text)
 
 
+def test_repeated_ids_teach_once(spark, monkeypatch):
+    dice = random.Random(8)
+    rows = [(i, " ".join(dice.choices(["good", "text"] if i % 2 else ["bad", "junk"], k=30)), "en") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2, 0, "") for i in range(40)], LABELS)
+    taught = []
+    monkeypatch.setattr(quality, "cotrain", lambda x, y, draw, *rest: taught.append((y.tolist(), draw.tolist(), [v.tolist() for v in x])))
+    quality.train(frame(spark, rows), labels, 40, 20)
+    quality.train(frame(spark, [*rows, *rows[:1] * 500]), labels, 40, 20)
+    assert len(taught[0][0]) == 60 and taught[0] == taught[1]
+
+
 def test_full_licenses_with_titles_and_within_longer_texts(spark):
     known, full = dict(reversed(licenses.KNOWN)), {p.stem: p.read_text() for p in licenses.TEXTS.glob("*.txt")}
     full |= {name: known[name] for name in ("MIT", "Zlib")}
