@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import exact_dedup, jaccard, language_id, licenses, mixing, neighbours, packing, quality, secrets, toxicity
+from pagemill.llm import (
+    collocations, conversation_trie, embedding_dedup, exact_dedup, jaccard, language_id, licenses, mixing, neighbours, packing, quality, secrets, toxicity,
+)
 from pagemill.llm.common import id_remainder, partitions, shared_path, table
 
 #: Shares of the domains (languages) wanted in the mix, at as many tokens as there are.
@@ -70,13 +72,28 @@ def op10_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.search(vectors, vectors.filter("vec_id % 20 = 0"))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return embedding_dedup.link_vectors(table(spark, sf, "embeddings"))
+
+
+def op12_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf, "documents"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return conversation_trie.trie_nodes(table(spark, sf, "conversations"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     operators = (
         op1_secret_scan, op2_target_mixing, op3_quality_classifier, op4_language_id, op5_jaccard_join, op6_license_scan, op7_toxicity, op8_exact_dedup, op9_packing,
-        op10_nearest_neighbours,
+        op10_nearest_neighbours, op11_embedding_dedup, op12_collocations, op13_conversation_trie,
     )
     return {f.__name__: f for f in operators}
 
 
 def llm_sql() -> dict[str, str]:
-    return {"op6_license_scan": licenses.sql(), "op8_exact_dedup": exact_dedup.SQL}
+    return {
+        "op6_license_scan": licenses.sql(), "op8_exact_dedup": exact_dedup.SQL, "op11_embedding_dedup": embedding_dedup.SQL, "op12_collocations": collocations.SQL,
+        "op13_conversation_trie": conversation_trie.SQL,
+    }
