@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+import time
 import zlib
 
 import public_tokenizers
@@ -61,6 +62,53 @@ def test_novel_spans_need_an_incompressible_string(spark):
     assert got[13].spans == "novel:10:30" and got[14].spans == ""
 
 
+def plain_novel(text, base, threshold):
+    """The rule over all places: the first long run of key characters within reach of a word, whole, off the base spans."""
+    words = [m.end() for m in re.finditer("(?ai:" + "|".join(secrets._SENSITIVE) + ")", text)]
+    found = []
+    for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", text):
+        # A word inside a run lets the rest of it count, if that is long enough.
+        starts = [max(m.start(), w) for w in words if w <= m.start() <= w + secrets.REACH or m.start() < w <= m.end() - 16]
+        for start in sorted(starts)[:1]:
+            if any(s < m.end() and start < e for s, e, _ in base):
+                continue
+            around = text[max(0, start - secrets.AROUND):start] + text[m.end():m.end() + secrets.AROUND]
+            if secrets.novelty(text[start:m.end()], around) >= threshold:
+                found.append((start, m.end(), "novel"))
+    return found
+
+
+def test_novel_spans_equal_a_plain_search():
+    dice = random.Random(17)
+    alphabet = string.ascii_letters + string.digits
+    for _ in range(150):
+        parts = []
+        for _ in range(dice.randrange(1, 25)):
+            parts.append(dice.choice([
+                "".join(dice.choices(alphabet, k=dice.choice([10, 16, 20, 40, 90]))), "auth ", "the key ", "bearer: ", "word and more words. ", " " * dice.choice([1, 30, 60]), "\n",
+                "password = " + "".join(dice.choices(alphabet, k=9)) + " ", "deadbeef" * 4 + " ", "configurationManagerService ", "AKIA" + "Z9" * 8 + " "]))
+            parts.append(" ")
+        text = "".join(parts)
+        base = secrets.base_spans(text)
+        assert secrets.novel_spans(text, base, 0.9) == plain_novel(text, base, 0.9), text
+
+
+def test_a_text_of_many_spans_takes_linear_time():
+    text = "token: abcdefgh12 " * 100_000
+    start = time.perf_counter()
+    base = secrets.base_spans(text)
+    assert len(base) == 100_000 and secrets.novel_spans(text, base, 0.9) == []
+    assert time.perf_counter() - start < 10
+
+
+def test_random_letters_are_lost_rarely_and_names_hardly_ever_reported():
+    dice = random.Random(8)
+    keys = ["".join(dice.choices(string.ascii_lowercase, k=16)) for _ in range(400)]
+    assert sum(secrets.novelty(k, "the auth header of a request") >= 0.9 for k in keys) >= 0.98 * len(keys)
+    names = ["getAuthenticationTokenProvider", "passwordResetConfirmation", "configurationManagerService", "internationalization", "refreshTokenRepository", "HttpServletRequestWrapper"]
+    assert not [n for n in names if secrets.novelty(n, "the auth header of a request") >= 0.9]
+
+
 def test_novelty_falls_when_the_text_around_repeats_the_string():
     key = "Zk9vQ2xT7mB4wR1yH6nD"
     assert secrets.novelty(key, "") > 0.9 > secrets.novelty(key, f"before {key} behind")
