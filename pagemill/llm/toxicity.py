@@ -64,22 +64,25 @@ def segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[int, int
     Each candidate keeps the cumulative score before it and at its end. A new one is
     joined to the last candidate that starts lower, if that one also ends lower.
     """
-    found: list[tuple[int, int, float, float]] = []  # first, last, total before, total at the end
+    # first, last, total before, total at the end, place of the last candidate that starts lower (-1: none).
+    found: list[tuple[int, int, float, float, int]] = []
     total, at = 0.0, -1
     for position, score in hits:
         total -= drift * (position - at - 1)
         first, last, low, high = position, position, total, total + score
         total, at = high, position
+        k = len(found) - 1
         while True:
-            k = len(found) - 1
+            # What is passed here starts no lower than this one, so nobody after will look at it again.
             while k >= 0 and found[k][2] >= low:
-                k -= 1
+                k = found[k][4]
             if k < 0 or found[k][3] >= high:
                 break
-            first, low = found[k][0], found[k][2]
+            first, low, before = found[k][0], found[k][2], found[k][4]
             del found[k:]
-        found.append((first, last, low, high))
-    return [(first, last, high - low) for first, last, low, high in found]
+            k = before
+        found.append((first, last, low, high, k))
+    return [(first, last, high - low) for first, last, low, high, _ in found]
 
 
 @dataclass(frozen=True)
@@ -119,12 +122,13 @@ def _decay(chances: np.ndarray, scores: np.ndarray, drift: float) -> float:
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, rows: int = 20_000, terms: int = 20_000, sure: float = 1.0, prior: float = 0.5, drift: float = 1.0,
+    docs: DataFrame, labels: DataFrame, rows: int = 20_000, sure: float = 1.0, prior: float = 0.5, drift: float = 1.0,
     scale: float = 0.3,
 ) -> ToxicModel:
-    """Learn from the ``rows`` labelled documents whose ids hash lowest; keep at most ``terms`` pieces.
+    """Learn from the ``rows`` labelled documents whose ids hash lowest.
 
-    The driver gets at most ``terms`` pieces and one number per sampled document.
+    The driver gets one number per sampled document and every piece that stands out
+    between the labels: as many as the sample bears, whatever the table's size.
     """
     chosen = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic IN (0, 1) AND _id IS NOT NULL")
     chosen = F.broadcast(bounded_sample(chosen, "_id", rows))
@@ -167,7 +171,7 @@ def train(
     part = lambda c, q: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (both * F.lit(q)))).otherwise(0.0)
     least = 2 * math.log(max(1, counted.count())) + 5
     weighed = counted.filter("piece <> ''").filter(2 * (part("toxic", rate) + part("clean", 1 - rate)) >= least)
-    best = weighed.withColumn("weight", odds[0] - odds[1] - F.lit(sure) * spread).filter(F.col("weight") > drift).orderBy(F.desc("weight"), "piece").limit(terms).collect()
+    best = weighed.withColumn("weight", odds[0] - odds[1] - F.lit(sure) * spread).filter(F.col("weight") > drift).orderBy("piece").collect()
     known = {r["piece"]: r["weight"] for r in best}
     scores = np.array([r["weight"] - drift for r in best])
     chances = np.array([(r["clean"] + prior) / max(1, n_words) for r in best])
@@ -188,7 +192,7 @@ def train(
 
 def score(docs: DataFrame, model: ToxicModel, threshold: float = 0.7) -> DataFrame:
     """doc_id, score, predicted, passages (first and last word of each significant segment)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most ``terms`` pieces
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the pieces that stood out in the bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value

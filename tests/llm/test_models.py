@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import textwrap
+import time
 
 import duckdb
 import numpy as np
@@ -34,6 +35,17 @@ def best_segments(scores):
     return [*best_segments(scores[:first]), (first, last, best[0]), *right]
 
 
+@pytest.mark.parametrize("rise", [-1.0, 1.0, 0.0])
+def test_a_million_hits_take_linear_time(rise):
+    """Totals that fall, rise or swing: each candidate is passed once."""
+    n = 1_000_000
+    hits = [(2 * i, 1.0 + rise * 0.5 + (0.4 if i % 7 == 0 else 0.0)) for i in range(n)]
+    start = time.perf_counter()
+    found = toxicity.segments(hits, 1.0)
+    assert time.perf_counter() - start < 10
+    assert found[0][0] == 0 and found[-1][1] == 2 * (n - 1)
+
+
 def test_segments_are_the_maximal_ones():
     dice = random.Random(4)
     for _ in range(200):
