@@ -17,15 +17,17 @@ from pagemill.operators import admit, enrich
 from pagemill.operators.extract import extract_fields, link_lists, page_links
 from pagemill.operators.frontier import expand_links
 from pagemill.operators.language import detect_language, train_profile
-from pagemill.operators.precision import extract_precise
+from pagemill.operators.precision import extract_both, extract_precise
+from pagemill.operators.seen import SeenIndex
 from pagemill.operators.sizing import checkpoint_folder, cut_lineage
-from pagemill.operators.upsert import last_by_key, upsert
+from pagemill.operators.upsert import last_by_key
 from pagemill.plans import quality, report
 from pagemill.plans.documents import build_documents, parse_pages, run_expansion
 from pagemill.schema import DOCUMENT_SCHEMA
-from pagemill.sources.collection import load_strict, parse_lines, save_documents, skip_report, skipped_lines
+from pagemill.sources.collection import load_documents, load_strict, parse_lines, save_documents, skip_report, skipped_line_numbers, upsert_documents
 from pagemill.sources.fetches import fetches_from_pages, judge_fetches
 from pagemill.streaming.ingest import ingest_stream, read_store
+from pagemill.streaming.sums import store_report
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -148,9 +150,15 @@ def _candidate_urls(spark, sf) -> DataFrame:
 
 @query
 def url_admit(spark, sf):
+    """Admitted links that are not in an index of seen URLs, which two runs have filled."""
     candidates = _candidate_urls(spark, sf)
     stored = inputs.pages(spark, sf).select(F.concat(F.regexp_extract("url", "^(https?://[^/]+)", 1), F.lit("/de")).alias("url"))
-    return admit.admitted_urls(candidates, stored).select("url", F.col("rank.page_id").alias("first_page"))
+    index = SeenIndex.open(spark, f"{checkpoint_folder(spark)}/seen-{uuid.uuid4().hex}")
+    for run in (0, 1):
+        index.add(stored.where(F.pmod(F.length("url"), F.lit(2)) <= run))
+    found = cut_lineage(admit.admitted_urls(candidates, index))
+    index.close()
+    return found.select("url", F.col("rank.page_id").alias("first_page"))
 
 
 @query
@@ -286,8 +294,13 @@ def collection_skips(spark, sf):
 
 @query
 def collection_skipped_lines(spark, sf):
-    """The skipped lines themselves; of their text the first character."""
-    return skipped_lines(parse_lines(_stored_lines(spark, sf)), "row_id").select("row_id", "skip_reason", F.substr("value", F.lit(1), F.lit(1)).alias("start"))
+    """File, line number and digest of the skipped lines of a collection in four files, in order of rows."""
+    path = f"{checkpoint_folder(spark)}/lines-{uuid.uuid4().hex}"
+    lines = _stored_lines(spark, sf).withColumn("part", F.col("row_id") % 4)
+    lines.repartition(4, "part").sortWithinPartitions("part", "row_id").select("part", "value").write.partitionBy("part").text(path)
+    return skipped_line_numbers(spark, path).select(
+        F.regexp_extract("file", "part=([0-9]+)", 1).cast("bigint").alias("part"), "line", "skip_reason", F.md5("value").alias("digest")
+    )
 
 
 @query
@@ -330,10 +343,12 @@ def last_wins(spark, sf):
 
 @query
 def collection_upsert(spark, sf):
+    """A stored collection, into which the rows of one language are merged under another title."""
+    path = f"{checkpoint_folder(spark)}/collection-{uuid.uuid4().hex}"
     rows = inputs.collection(spark, sf)
-    existing = last_by_key(rows.withColumnRenamed("row_id", "version")).drop("version")
-    new = rows.where("language = 'en'").withColumn("title", F.lit("new"))
-    return upsert(existing, new, order="row_id").select("doc_id", "title", "source", "language")
+    save_documents(last_by_key(rows.withColumnRenamed("row_id", "version")), path)
+    upsert_documents(rows.where("language = 'en'").withColumn("title", F.lit("new")), path, order="row_id")
+    return load_documents(spark, path).select("doc_id", "title", "source", "language")
 
 
 # --- report ---------------------------------------------------------------
@@ -397,7 +412,9 @@ def frontier_bfs(spark, sf):
 
 @query
 def frontier_budget(spark, sf):
-    return _walk(spark, sf, max_depth=6, max_pages=20).tasks.select("url", F.col("depth").cast("bigint").alias("depth"), "outcome")
+    """A budget of an eighth of all pages, so the walk ends in its middle at every scale."""
+    budget = inputs.table(spark, sf, "pages").count() // 8
+    return _walk(spark, sf, max_depth=64, max_pages=budget).tasks.select("url", F.col("depth").cast("bigint").alias("depth"), "outcome")
 
 
 @query
@@ -411,16 +428,6 @@ def run_counters(spark, sf):
     return _walk(spark, sf, max_depth=6, max_pages=15, existing_on_domain=5).counters()
 
 
-@query
-def crawl_job(spark, sf):
-    """The whole job: a walk over a fetch log, merged into a stored collection; the collection afterwards."""
-    path = f"{checkpoint_folder(spark)}/crawl-{uuid.uuid4().hex}"
-    save_documents(inputs.collection(spark, sf).where("row_id % 100 = 3").drop("row_id"), path)
-    config = CrawlConfig("https://site.example.com/p/0", path, max_pages=10**9, max_depth=64)
-    _, documents = run_expansion(config, inputs.fetch_log(spark, sf))
-    return documents.select("doc_id", "url", "title", "fetched_at", F.size("links_out_internal").cast("bigint").alias("links"))
-
-
 @query
 def crawl_job_whole(spark, sf):
     """The whole job on the whole collection, a third of whose addresses are the site's: the walk refreshes those it reaches."""
@@ -455,18 +462,14 @@ def extract_score(spark, sf):
 
 @query
 def best_backend(spark, sf):
-    pages = inputs.varied_pages(spark, sf)
-    return quality.best_extraction({"heuristic": extract_fields(pages), "precision": extract_precise(pages)}).select(
-        "page_id", "extractor", "score"
-    )
+    return quality.best_rows(extract_both(inputs.varied_pages(spark, sf))).select("page_id", "extractor", "score")
 
 
 # --- streaming ------------------------------------------------------------
 
 
-@query
-def incremental_ingest(spark, sf):
-    """Two streams of the pages into one store, the first replayed as a new query; the store's rows.
+def _fed_store(spark, sf, **how) -> str:
+    """A store fed by two streams of the pages, the first replayed as a new query.
 
     The second stream is a later fetch of every other page, with another title.
     """
@@ -478,9 +481,21 @@ def incremental_ingest(spark, sf):
         {"html": F.replace("html", F.lit("<title>"), F.lit("<title>Later ")), "fetched_at": F.col("fetched_at") + F.expr("INTERVAL 1 DAY")}
     )
     for name, stream in (("first", first), ("later", later), ("replay", first)):
-        writer = ingest_stream(stream, f"{folder}/store", f"{folder}/{name}", link_scope="raw")
+        writer = ingest_stream(stream, f"{folder}/store", f"{folder}/{name}", link_scope="raw", **how)
         writer.trigger(availableNow=True).start().awaitTermination()
-    return read_store(spark, f"{folder}/store").select(
+    return f"{folder}/store"
+
+
+@query
+def incremental_ingest(spark, sf):
+    """The rows of a store after its streams."""
+    return read_store(spark, _fed_store(spark, sf)).select(
         "doc_id", "source", "url", "title", "fetched_at", "word_count", "char_count", "content_type", "text_to_html_ratio",
         F.size("links_out_internal").cast("bigint").alias("links"),
     )
+
+
+@query
+def report_store(spark, sf):
+    """The report of a store, from the sums that its streams kept up to date."""
+    return store_report(spark, _fed_store(spark, sf, sums=True))

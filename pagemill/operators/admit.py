@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.text import bind
 from pagemill.functions.urls import url_path
+from pagemill.operators.seen import SeenIndex
 
 # File types that are no pages.
 SKIPPED_EXTENSIONS = (
@@ -85,7 +86,7 @@ def reject_counts(
 
 def admitted_urls(
     urls: DataFrame,
-    seen: DataFrame,
+    seen: DataFrame | SeenIndex,
     order: str = "rank",
     prefix: str | None = None,
     regex: str | None = None,
@@ -93,14 +94,14 @@ def admitted_urls(
 ) -> DataFrame:
     """Only the admitted URLs, each once with its first ``order`` value.
 
-    ``keep`` names further columns to take from the first occurrence.
+    ``keep`` names further columns to take from the first occurrence. ``seen`` is a table
+    of URLs or the stored index of earlier runs.
     """
     first = urls.groupBy("url").agg(
         F.min(order).alias(order), *[F.min_by(name, order).alias(name) for name in keep]
     )
-    return first.where(rule_violation(F.col("url"), prefix, regex).isNull()).join(
-        seen.select("url"), "url", "left_anti"
-    )
+    allowed = first.where(rule_violation(F.col("url"), prefix, regex).isNull())
+    return seen.unseen(allowed) if isinstance(seen, SeenIndex) else allowed.join(seen.select("url"), "url", "left_anti")
 
 
 def seen_count(*urls: DataFrame) -> DataFrame:

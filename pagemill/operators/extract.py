@@ -151,13 +151,13 @@ def _title(title: Column, heading_pieces: Column) -> Column:
     return F.coalesce(first, heading, F.lit(""))
 
 
-def meta_map(meta_tags: MetaTags = META_TAGS) -> Column:
-    """Map of the non-empty metadata of a layout row."""
+def meta_map(meta_tags: MetaTags = META_TAGS, prefix: str = "") -> Column:
+    """Map of the non-empty metadata of a layout row, whose columns may have a prefix before each name."""
     entries = F.array(
         *[
             F.when(
-                F.col(f"meta_{out}.content") != "",
-                F.struct(F.lit(out).alias("key"), F.col(f"meta_{out}.content").alias("value")),
+                F.col(f"meta_{prefix}{out}.content") != "",
+                F.struct(F.lit(out).alias("key"), F.col(f"meta_{prefix}{out}.content").alias("value")),
             )
             for out in meta_tags
         ]
@@ -166,62 +166,80 @@ def meta_map(meta_tags: MetaTags = META_TAGS) -> Column:
     return F.transform_values(pairs, lambda _, value: text.strip(decode_entities(value)))
 
 
-def extract_fields(
-    pages: DataFrame, key: str = "page_id", keep: tuple[str, ...] = (), links: bool = False, seed_domain: str | None = None
-) -> DataFrame:
-    """Title, main text, metadata and HTML length per page that has any text.
+def raw_references(page_tokens: Column) -> Column:
+    """The non-empty references of all anchors of a page, in order; those to no page are left out."""
+    anchors = F.filter(page_tokens, lambda t: t.rlike(r"^<[aA][\s/]"))
+    found = F.transform(anchors, lambda t: markup.attribute(t, "href"))
+    return F.filter(found, lambda href: (href != "") & ~href.rlike(SKIPPED_LINKS))
 
-    ``keep`` passes page columns on; they meet the result by key and do not travel
-    with the page, whose exchange both of its readers share. With ``links`` there are also the page's internal
-    links after boilerplate removal, as :func:`page_links` finds them, from the same
-    structure and without a further exchange of pages; ``keep`` must then have ``url``.
-    """
-    spread = copartitioned(pages, key, (key, "html"))
-    layout = page_layout(spread, key, anchors=links).hint("shuffle_hash")
+
+def field_record(page_tokens: Column, runs: Column, meta: Column, *extra: Column) -> Column:
+    """The fields of a page cut out of its tokens by its layout row, as an array of one struct; null without text."""
     no_spans = F.array().cast("array<struct<start:int,end:int,parent:int,parent_end:int,selectors:array<int>>>")
-    joined = spread.join(layout, key, "left")
 
-    # Each stage is bound once. The closing generator keeps the emptiness test from
-    # being pushed down, its outer form from being inferred: either way all stages
-    # would be evaluated again.
     def record(body: Column, texts: Column) -> Column:
         row = F.struct(
             _title(texts[1], F.split(texts[2], "\x00")).alias("title"),
             body.alias("body_text"),
-            meta_map().alias("meta"),
+            meta.alias("meta"),
             F.length("html").cast("bigint").alias("html_length"),
+            *extra,
         )
         return F.when(body != "", F.array(row))
 
-    def cut(page_tokens: Column, runs: Column) -> Column:
-        span = container_span(runs, F.coalesce("candidates", no_spans), F.col("body_span"))
-        raw = F.array(
-            text.bind(span, lambda s: F.array_join(_texts(runs, s), "\n")),
-            _raw_title(page_tokens, F.col("title_span")),
-            # NUL cannot occur in HTML text, so it can part the pieces.
-            F.array_join(_texts(runs, F.col("heading_span")), "\x00"),
-        )
-        return text.bind(
-            F.transform(raw, decode_entities),
-            lambda texts: text.bind(text.tidy_lines(texts[0]), lambda body: record(body, texts)),
-        )
+    span = container_span(runs, F.coalesce("candidates", no_spans), F.col("body_span"))
+    raw = F.array(
+        text.bind(span, lambda s: F.array_join(_texts(runs, s), "\n")),
+        _raw_title(page_tokens, F.col("title_span")),
+        # NUL cannot occur in HTML text, so it can part the pieces.
+        F.array_join(_texts(runs, F.col("heading_span")), "\x00"),
+    )
+    return text.bind(
+        F.transform(raw, decode_entities),
+        lambda texts: text.bind(text.tidy_lines(texts[0]), lambda body: record(body, texts)),
+    )
+
+
+def extract_fields(
+    pages: DataFrame, key: str = "page_id", keep: tuple[str, ...] = (), links: str | None = None, seed_domain: str | None = None
+) -> DataFrame:
+    """Title, main text, metadata and HTML length per page that has any text.
 
+    ``keep`` passes page columns on; they meet the result by key and do not travel
+    with the page, whose exchange both of its readers share. With ``links`` (a scope of
+    :func:`page_links`) there are also the page's internal links: cleaned ones come from the
+    same structure, raw ones from the same tokens, both without a further exchange of
+    pages; ``keep`` must then have ``url``.
+    """
+    if links not in (None, "cleaned", "raw"):
+        raise ValueError(f"unknown link scope {links!r}; use 'cleaned' or 'raw'")
+    spread = copartitioned(pages, key, (key, "html"))
+    layout = page_layout(spread, key, anchors=links == "cleaned").hint("shuffle_hash")
+    joined = spread.join(layout, key, "left")
+
+    def extra(page_tokens: Column) -> list[Column]:
+        return [raw_references(page_tokens).alias("references")] if links == "raw" else []
+
+    # Each stage is bound once. The closing generator keeps the emptiness test from
+    # being pushed down, its outer form from being inferred: either way all stages
+    # would be evaluated again.
     fields = text.bind(
         markup.tokens(F.col("html")),
-        lambda toks: text.bind(visible_text(toks, F.col("cuts")), lambda runs: cut(toks, runs)),
+        lambda toks: text.bind(visible_text(toks, F.col("cuts")), lambda runs: field_record(toks, runs, meta_map(), *extra(toks))),
     )
-    found = joined.select(key, *(["anchors"] if links else []), F.inline_outer(fields)).where(F.col("body_text").isNotNull())
+    cleaned = [F.transform("anchors", lambda a: a["href"]).alias("references")] if links == "cleaned" else []
+    found = joined.select(key, *cleaned, F.inline_outer(fields)).where(F.col("body_text").isNotNull())
     if keep:
         found = found.join(pages.select(key, *keep).hint("shuffle_hash"), key)
     if not links:
         return found
     home = F.lit(seed_domain) if seed_domain is not None else url_domain(F.col("url"))
     resolved = F.transform(
-        F.coalesce("anchors", F.array().cast("array<struct<start:int,href:string>>")),
-        lambda a: normalize_url(resolve_url(F.col("url"), decode_entities(a["href"]))),
+        F.coalesce("references", F.array().cast("array<string>")),
+        lambda href: normalize_url(resolve_url(F.col("url"), decode_entities(href))),
     )
     inside = text.bind(home, lambda h: F.filter(F.array_compact(resolved), lambda link: url_domain(link) == h))
-    return found.withColumn("links_internal", F.array_distinct(inside)).drop("anchors")
+    return found.withColumn("links_internal", F.array_distinct(inside)).drop("references")
 
 
 def page_links(

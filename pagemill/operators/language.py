@@ -2,9 +2,8 @@
 
 The profile is a long table with every trigram of every language and integer log
 weights, so sums are exact and results do not depend on the order of addition. A
-text's trigrams are counted inside its own task, meet the profile by trigram (Spark
-picks the join from the sizes and splits frequent trigrams), and are summed per text
-and language.
+profile of measured size goes to every task, where a text's trigrams are scored as they
+are read; a larger one meets the counted trigrams of all texts in a join.
 """
 
 from __future__ import annotations
@@ -54,13 +53,41 @@ def train_profile(labelled: DataFrame, text: str = "text", label: str = "lang")
     return seen.unionByName(totals.select(F.lit("").alias("gram"), "language", weight(F.lit(0))))
 
 
-def detect_language(texts: DataFrame, profile: DataFrame, key: str, text: str = "body_text") -> DataFrame:
+def detect_language(
+    texts: DataFrame, profile: DataFrame, key: str, text: str = "body_text", in_memory: int = 64 << 20, in_columns: int = 64
+) -> DataFrame:
     """``(key, language)`` for texts of at least 20 words that share a trigram with the profile.
 
-    Shorter or unknown texts give no row. Ties go to the first language by name.
+    Shorter or unknown texts give no row. Ties go to the first language by name. The
+    profile is measured: up to ``in_memory`` bytes and ``in_columns`` languages every task
+    gets it whole, and a text's trigrams are scored where they are read, so that one row
+    per text is exchanged. Beyond, texts and profile meet by trigram.
     """
     long_enough = texts.where(word_count(F.col(text)) >= MIN_WORDS)
-    counts = explode_trigrams(long_enough, text, key).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("n"))
+    bases = profile.where("gram = ''").select("language", "weight").orderBy("language").limit(in_columns + 1).collect()
+    if len(bases) <= in_columns:
+        size = profile.agg(F.approx_count_distinct("gram", 0.02)).first()[0] * (48 + 8 * len(bases))
+        if 1.1 * size <= in_memory:
+            return _score_in_task(long_enough, profile, key, text, {r["language"]: r["weight"] for r in bases})
+    return _score_by_trigram(long_enough, profile, key, text)
+
+
+def _score_in_task(texts: DataFrame, profile: DataFrame, key: str, text: str, bases: dict[str, int]) -> DataFrame:
+    """Each trigram finds the gains of all languages in a broadcast row; sums are partial per text before the exchange."""
+    names = list(bases)
+    gain = F.col("weight") - F.coalesce(*[F.when(F.col("language") == n, F.lit(bases[n])) for n in names]) if names else F.lit(0)
+    each = [F.coalesce(F.sum(F.when(F.col("language") == n, gain)), F.lit(0)).cast("bigint").alias(f"gain{i}") for i, n in enumerate(names)]
+    gains = profile.where("gram <> ''").groupBy("gram").agg(F.count(F.lit(1)).alias("languages"), *each).drop("languages")
+    met = explode_trigrams(texts, text, key).join(F.broadcast(gains), "gram")
+    sums = met.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"gain{i}").alias(f"gain{i}") for i in range(len(names))])
+    losses = [F.struct((-(F.col(f"gain{i}") + F.col("n") * F.lit(bases[n]))).alias("loss"), F.lit(n).alias("language")) for i, n in enumerate(names)]
+    best = F.array_min(F.array(*losses))["language"] if losses else F.lit(None).cast("string")
+    return sums.select(key, best.alias("language"))
+
+
+def _score_by_trigram(texts: DataFrame, profile: DataFrame, key: str, text: str) -> DataFrame:
+    """For profiles of any size: trigrams are counted per text and join the profile by exchange."""
+    counts = explode_trigrams(texts, text, key).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("n"))
     base = profile.where("gram = ''").select("language", F.col("weight").alias("base"))
     # Above what a language gives a trigram it lacks; never negative.
     gains = (

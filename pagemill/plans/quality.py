@@ -5,40 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.schema import CONTENT_TYPES, DOCUMENT_SCHEMA
-
-_URI = r"^[A-Za-z][A-Za-z0-9+.-]*:[^\s<>\"{}|\\^`]*$"
-_DATE_TIME = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt][0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?(?:[Zz]|[+-][0-9]{2}:[0-9]{2})$"
-
-
-def contract_rules(content_types: tuple[str, ...] = CONTENT_TYPES) -> dict[str, Column]:
-    """Rule name -> column that is true where a document breaks the rule."""
-    required = ("doc_id", "source", "url", "title", "body_text", "fetched_at", "word_count", "char_count",
-                "text_to_html_ratio", "links_out_internal")
-    rules = {f"{name}.required": F.col(name).isNull() for name in required}
-    for name in ("doc_id", "source"):
-        rules[f"{name}.minLength"] = F.length(name) < 1
-    rules["language.minLength"] = F.length("language") < 2
-    for name in ("word_count", "char_count", "text_to_html_ratio"):
-        rules[f"{name}.minimum"] = F.col(name) < 0
-    rules["content_type.enum"] = ~F.col("content_type").isin(*content_types)
-    rules["url.format"] = ~F.col("url").rlike(_URI)
-    # Letters of either case are allowed, and a leap second, which timestamps do not know.
-    usual = F.regexp_replace(F.upper("fetched_at"), r"T([0-9]{2}:[0-9]{2}):60(?![0-9])", "T$1:59")
-    real_moment = F.try_to_timestamp(usual).isNotNull()
-    rules["fetched_at.format"] = ~(F.col("fetched_at").rlike(_DATE_TIME) & real_moment)
-    rules["links_out_internal.format"] = F.exists("links_out_internal", lambda link: ~link.rlike(_URI))
-    return rules
-
-
-def contract_violations(
-    documents: DataFrame, content_types: tuple[str, ...] = CONTENT_TYPES, key: str = "doc_id"
-) -> DataFrame:
-    """``(key, rule)`` for every broken rule; unknown columns break ``additionalProperties``."""
-    rules = contract_rules(content_types)
-    for name in documents.columns:
-        if name not in DOCUMENT_SCHEMA.names and name != key:
-            rules[f"{name}.additionalProperties"] = F.col(name).isNotNull()
+from pagemill.plans.contract import compile_rules, document_contract
+
+def contract_violations(documents: DataFrame, schema: dict | None = None, key: str = "doc_id") -> DataFrame:
+    """``(key, rule)`` for every broken rule of a JSON schema, by default that of documents.
+
+    Columns that the schema does not name break ``additionalProperties`` if it allows none.
+    """
+    schema = document_contract() if schema is None else schema
+    rules = compile_rules(schema)
+    if schema.get("additionalProperties") is False:
+        for name in documents.columns:
+            if name not in schema.get("properties", {}) and name != key:
+                rules[f"{name}.additionalProperties"] = F.col(name).isNotNull()
     broken = F.array_compact(F.array(*[F.when(test, F.lit(rule)) for rule, test in rules.items()]))
     return documents.select(key, F.explode(broken).alias("rule"))
 
@@ -58,19 +37,19 @@ def best_extraction(parsed: dict[str, DataFrame], key: str = "page_id") -> DataF
     """Per page the highest-scoring of several extractions; ties go to the first name."""
     together = None
     for name, rows in sorted(parsed.items()):
-        scored = rows.select(
-            key,
-            F.lit(name).alias("extractor"),
-            extraction_score(F.col("title"), F.col("body_text"), F.col("meta"), F.col("html_length")).alias("score"),
-            "title",
-            "body_text",
-        )
-        together = scored if together is None else together.unionByName(scored)
+        named = rows.select(key, F.lit(name).alias("extractor"), "title", "body_text", "meta", "html_length")
+        together = named if together is None else together.unionByName(named)
+    return best_rows(together, key)
+
+
+def best_rows(extracted: DataFrame, key: str = "page_id") -> DataFrame:
+    """As :func:`best_extraction`, from rows that name their extractor; rows hashed by page stay where they are."""
     fields = ("extractor", "score", "title", "body_text")
-    lowest_name = sorted(parsed, reverse=True)
-    preference = F.array_position(F.array(*[F.lit(n) for n in lowest_name]), F.col("extractor"))
+    score = extraction_score(F.col("title"), F.col("body_text"), F.col("meta"), F.col("html_length"))
+    better = F.struct((-F.col("score")).alias("lost"), "extractor")
     return (
-        together.groupBy(key)
-        .agg(F.max_by(F.struct(*fields), F.struct("score", preference.alias("p"))).alias("best"))
+        extracted.withColumn("score", score)
+        .groupBy(key)
+        .agg(F.min_by(F.struct(*fields), better).alias("best"))
         .select(key, *[F.col(f"best.{name}").alias(name) for name in fields])
     )

@@ -104,6 +104,12 @@ def report(documents: DataFrame, order: str = "doc_id") -> DataFrame:
         F.max("fetched_at").alias("last_fetch"),
     ))
     sources = documents.agg(F.count_distinct("source").alias("sources"), F.min_by("source", order).alias("source"))
+    times = cube.agg(F.min("first_fetch").alias("first_fetch"), F.max("last_fetch").alias("last_fetch"))
+    return sections(cube, sources.withColumns({name: times.select(name).scalar() for name in times.columns}))
+
+
+def sections(cube: DataFrame, whole_table: DataFrame) -> DataFrame:
+    """The report from counts by ``(content_type, language, ready)`` and one row of ``sources, source, first_fetch, last_fetch``."""
 
     def rows(df: DataFrame, section: str, label: Column, metrics: dict[str, Column]) -> DataFrame:
         entries = F.array(
@@ -118,8 +124,6 @@ def report(documents: DataFrame, order: str = "doc_id") -> DataFrame:
         F.coalesce(F.sum("words"), F.lit(0)).alias("words"),
         F.sum("worded").alias("worded"),
         F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"),
-        F.min("first_fetch").alias("first_fetch"),
-        F.max("last_fetch").alias("last_fetch"),
     )
     by_type = cube.groupBy("content_type").agg(
         F.sum("n").alias("documents"), F.sum("words").alias("words"), F.sum("worded").alias("worded")
@@ -132,11 +136,10 @@ def report(documents: DataFrame, order: str = "doc_id") -> DataFrame:
     n, is_in = F.col("n"), F.col("ready")
     parts = [
         rows(whole, "overview", everything, {
-            "documents": n, "first_fetch": F.col("first_fetch"), "last_fetch": F.col("last_fetch"),
-            "words": F.col("words"), "chars": F.col("chars"), "mean_words": mean(F.col("words"), F.col("worded")),
+            "documents": n, "words": F.col("words"), "chars": F.col("chars"), "mean_words": mean(F.col("words"), F.col("worded")),
         }),
-        rows(sources, "overview", everything, {
-            "sources": F.col("sources"), "first_source": F.coalesce("source", F.lit("unknown")),
+        rows(whole_table, "overview", everything, {
+            "sources": F.col("sources"), "first_fetch": F.col("first_fetch"), "last_fetch": F.col("last_fetch"), "first_source": F.coalesce("source", F.lit("unknown")),
         }),
         rows(by_type, "content_type", F.coalesce("content_type", F.lit("null")), {
             "documents": F.col("documents"), "percent": F.col("percent"), "mean_words": F.col("mean"),

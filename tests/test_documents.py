@@ -4,7 +4,9 @@ import datetime as dt
 import hashlib
 import json
 import os
+import random
 import shutil
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,9 +14,9 @@ from pyspark.sql import functions as F
 from pagemill.config import CrawlConfig
 from pagemill.operators import admit, enrich, upsert
 from pagemill.operators.language import detect_language, train_profile
-from pagemill.plans import extractors, quality, report
+from pagemill.plans import contract, extractors, quality, report
 from pagemill.schema import DOCUMENT_SCHEMA
-from pagemill.sources import collection, fetches
+from pagemill.sources import collection, fetches, files
 
 BODY = "Rivers carry silt, and the delta grows a little with every flood of the spring. " * 16
 PARSED = "page_id long, url string, title string, body_text string, meta map<string,string>, html_length long, links_internal array<string>, fetched_at timestamp"
@@ -130,14 +132,75 @@ def test_storage_round_trip(spark, tmp_path):
     merged = upsert.upsert(collection.load_documents(spark, path), docs.withColumn("title", F.lit("new")))
     assert collection.save_documents(merged, path) == 2
     assert {r.title for r in collection.load_documents(spark, path).collect()} == {"new"}
-    assert sorted(os.listdir(path)) == ["v=1", "v=2"]  # an empty save leaves none, the one before stays
-    # A version without its marker was not finished, and does not count.
-    shutil.copytree(f"{path}/v=1", f"{path}/v=3", ignore=shutil.ignore_patterns("*_SUCCESS*"))
-    assert collection.current_path(spark, path).endswith("v=2") and collection.load_strict(spark, path, DOCUMENT_SCHEMA).count() == 2
-    lines = [json.loads(r.value) for r in spark.read.text(collection.current_path(spark, path)).collect()]
+    # An empty save lists no version, and what nobody lists does not count.
+    assert sorted(os.listdir(f"{path}/_versions")) == ["1", "2"]
+    shutil.copytree(f"{path}/data", f"{path}/data/unfinished")
+    assert collection.load_strict(spark, path, DOCUMENT_SCHEMA).count() == 2
+    lines = [json.loads(r.value) for r in collection.read_lines(spark, path).collect()]
     assert list(lines[0]) == DOCUMENT_SCHEMA.names and lines[0]["language"] is None
 
 
+def many_documents(spark, ids, title="old"):
+    rows = spark.createDataFrame([(i,) for i in ids], "n int").select(F.concat(F.lit("https://h.com/"), "n").alias("url"), F.lit(title).alias("title"))
+    rows = rows.withColumns({"page_id": F.lit(1), "body_text": F.lit("text"), "html_length": F.lit(9), "fetched_at": F.lit(None).cast("timestamp"), "links_internal": F.lit(None).cast("array<string>")})
+    return enrich.assemble_documents(rows)
+
+
+def test_upsert_writes_touched_buckets_only(spark, tmp_path):
+    path = str(tmp_path / "c")
+    collection.save_documents(many_documents(spark, range(300)), path, buckets=16)
+    before = set(collection.current_places(spark, path))
+    new = many_documents(spark, [7, 1000], "new")
+    touched = {r["k"] for r in new.select(collection.bucket_of(F.col("doc_id"), 16).alias("k")).collect()}
+    stored = {k: collection._documents(collection._lines(spark, [p])).count() for p in before if (k := int(p.rpartition("=")[2])) in touched}
+    assert collection.upsert_documents(new, path) == sum(stored.values()) + 1
+    after = set(collection.current_places(spark, path))
+    assert {int(p.rpartition("=")[2]) for p in after - before} == touched and len(after) == len(before) == 16
+    titles = {r.url: r.title for r in collection.load_documents(spark, path).collect()}
+    assert len(titles) == 301 and {u for u, t in titles.items() if t == "new"} == {"https://h.com/7", "https://h.com/1000"}
+    assert collection.upsert_documents(new.where("false"), path) == 0
+    for _ in range(4):  # old versions go, and only buckets that no kept version names
+        collection.upsert_documents(new, path)
+    assert sorted(map(int, os.listdir(f"{path}/_versions"))) == [4, 5, 6]
+    assert collection.load_documents(spark, path).count() == 301
+
+
+def test_savers_at_once_lose_nothing(spark, tmp_path):
+    path = str(tmp_path / "c")
+    collection.save_documents(many_documents(spark, range(20)), path, buckets=2)
+    errors = []
+
+    def save(k):
+        try:
+            collection.upsert_documents(many_documents(spark, range(100 * k, 100 * k + 5), f"saver {k}"), path)
+        except Exception as error:
+            errors.append(error)
+
+    threads = [threading.Thread(target=save, args=(k,)) for k in (1, 2, 3)]
+    for thread in threads:
+        thread.start()
+    for thread in threads:
+        thread.join()
+    assert not errors
+    titles = [r.title for r in collection.load_documents(spark, path).collect()]
+    assert {t: titles.count(t) for t in set(titles)} == {"old": 20, "saver 1": 5, "saver 2": 5, "saver 3": 5}
+
+
+def test_upsert_into_plain_lines_and_into_nothing(spark, tmp_path):
+    plain, none = str(tmp_path / "plain"), str(tmp_path / "none")
+    many_documents(spark, range(5)).write.json(plain)
+    for path, want in ((plain, 6), (none, 2)):
+        collection.upsert_documents(many_documents(spark, [4, 9], "new"), path)
+        titles = [r.title for r in collection.load_documents(spark, path).collect()]
+        assert len(titles) == want and titles.count("new") == 2
+
+
+def test_publish_once(spark, tmp_path):
+    place = str(tmp_path / "deep" / "1")
+    assert [files.publish(spark, place, text) for text in ("first \u00e9", "second")] == [True, False]
+    assert files.read_text(spark, place) == "first \u00e9" and files.names_in(spark, str(tmp_path / "deep")) == ["1"]
+
+
 def test_tolerant_read(spark, tmp_path):
     base = dict(doc_id="a", source="s", url="u", title="t", body_text="b", fetched_at="f", word_count=1, char_count=1)
     lines = ["", "not json", "[1]", "5", json.dumps({k: v for k, v in base.items() if k != "title"}),
@@ -216,7 +279,27 @@ def test_contract(spark):
     assert {r.rule for r in quality.contract_violations(bad).collect()} == {
         "source.minLength", "language.minLength", "content_type.enum", "url.format", "fetched_at.format", "word_count.minimum",
         "title.required", "links_out_internal.format", "more.additionalProperties"}
-    assert quality.contract_violations(bad, ("unknown",)).where("rule like 'content_type%'").count() == 0
+    own = contract.document_contract()
+    own["properties"]["content_type"]["enum"] = ["unknown", None]
+    assert quality.contract_violations(bad, own).where("rule like 'content_type%'").count() == 0
+
+
+def test_a_contract_from_a_file(spark, tmp_path):
+    schema = {"type": "object", "required": ["id", "maybe"], "properties": {
+        "id": {"type": "integer", "minimum": 1, "maximum": 9}, "maybe": {"type": ["string", "null"], "pattern": "^a"}, "kind": {"const": "x", "maxLength": 1},
+        "tags": {"type": "array", "minItems": 1, "uniqueItems": True, "items": {"type": "string", "minLength": 2, "enum": ["ab", "cd", "e"]}}}}
+    path = tmp_path / "schema.json"
+    path.write_text(json.dumps(schema), encoding="utf-8")
+    rows = [(1, "abc", "x", ["ab", "cd"], 1), (0, None, "yy", [], 2), (10, "ba", None, ["ab", "ab", "e"], 3), (None, None, None, None, 4), (5, "a", "x", [None, "zz"], 5)]
+    df = spark.createDataFrame(rows, "id int, maybe string, kind string, tags array<string>, extra int")
+    got = sorted(map(tuple, quality.contract_violations(df, contract.load_contract(spark, str(path)), key="extra").collect()))
+    assert got == sorted([
+        (2, "id.minimum"), (2, "kind.maxLength"), (2, "kind.const"), (2, "tags.minItems"), (3, "id.maximum"), (3, "maybe.pattern"), (3, "tags.uniqueItems"), (3, "tags.minLength"),
+        (4, "id.required"), (5, "tags.enum")])
+    assert quality.contract_violations(df, schema | {"additionalProperties": False}, key="id").where("rule = 'extra.additionalProperties'").count() == 5
+    for rule in ({"format": "ipv6"}, {"multipleOf": 2}):
+        with pytest.raises(ValueError):
+            contract.compile_rules({"properties": {"id": rule}})
 
 
 def test_report(spark):
@@ -263,3 +346,34 @@ def test_config_rules():
 def test_unknown_extractor():
     with pytest.raises(ValueError):
         extractors.get_extractor("none")
+
+
+def test_line_numbers_over_splits(spark, tmp_path):
+    """Two files whose lines fall into many splits, with blank and skipped lines among them."""
+    good = json.dumps(dict(doc_id="a", source="s", url="u", title="t", body_text="b" * 60, fetched_at="f", word_count=1, char_count=1))
+    rng, want = random.Random(5), []
+    for name in ("one", "two"):
+        lines = [rng.choice([good, good, good, "", "  ", "bad " + "x" * rng.randrange(200), "{}"]) for _ in range(400)]
+        (tmp_path / name).write_text("\n".join(lines), encoding="utf-8")
+        want += [(name, i, "missing_key" if line == "{}" else "malformed", line) for i, line in enumerate(lines, 1) if line.startswith(("bad", "{}"))]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        found = collection.skipped_line_numbers(spark, str(tmp_path)).collect()
+        assert collection.read_lines(spark, str(tmp_path)).select("file", "at.block").distinct().count() > 20
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r.file.rpartition("/")[2], r.line, r.skip_reason, r.value) for r in found) == sorted(want)
+
+
+def test_both_ways_to_score_a_language_agree(spark):
+    rng = random.Random(3)
+    letters = {"aa": "abcde", "bb": "cdefg", "cc": "xyz", "dd": "abcde"}  # aa and dd tie where they were taught alike
+    text = lambda alphabet, n: " ".join("".join(rng.choices(alphabet, k=rng.randint(1, 5))) for _ in range(n))
+    taught = [(text(a, 30), lang) for lang, a in letters.items() for _ in range(3)] + [(None, "aa"), ("word", None)]
+    profile = train_profile(spark.createDataFrame(taught, "text string, lang string"))
+    rows = [(i, text(rng.choice([*letters.values(), "abcdefgxyz", "\u03b1\u03b2"]), rng.choice([5, 19, 20, 60, 3000]))) for i in range(60)] + [(60, None), (61, "")]
+    texts = spark.createDataFrame(rows, "id int, body_text string")
+    ways = [dict(map(tuple, detect_language(texts, profile, "id", **how).collect())) for how in ({}, {"in_memory": 0}, {"in_columns": 2})]
+    assert ways[0] == ways[1] == ways[2] and len(set(ways[0].values())) > 2
+    plan = detect_language(texts, profile, "id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(id") == 1 and "hashpartitioning(gram" not in plan.partition("BroadcastExchange")[0]

@@ -102,8 +102,10 @@ def test_link_rules(spark):
             "<a href='JavaScript:1'>j</a><a href='http://sub.example.com/'>s</a><a href='http://example.com:99999/'>p</a>"
             "<a name=n>n</a><a href='b?utm_source=1&amp;q=2'>b</a></body>")
     pages = spark.createDataFrame([(1, "http://example.com/d/p", html)], "page_id long, url string, html string")
-    fields = extract_fields(pages.withColumn("fetched_at", F.current_timestamp()), keep=("url", "fetched_at"), links=True).first()
+    fields = extract_fields(pages.withColumn("fetched_at", F.current_timestamp()), keep=("url", "fetched_at"), links="cleaned").first()
     assert fields.links_internal == link_lists(page_links(pages, scope="cleaned")).first().links_internal
+    raw = extract_fields(pages.withColumn("fetched_at", F.current_timestamp()), keep=("url", "fetched_at"), links="raw").first()
+    assert raw.links_internal == link_lists(page_links(pages, scope="raw")).first().links_internal
 
     def get(scope):
         return link_lists(page_links(pages, scope=scope)).first().links_internal
