@@ -1,13 +1,20 @@
 """Nearest neighbours by inner product over robust-pruned directed graphs, one graph per shard.
 
 Equal vectors are one node that lists its smallest ids. Nodes are dealt to shards by
-hash; the number of shards follows the number of nodes. In each shard the nodes are
-inserted in random order: a greedy beam search over the graph so far proposes
-neighbours, relaxed distance pruning keeps those that no kept one dominates (closer to
-it by the factor ``alpha``), and reverse edges are pruned the same way. Inner products
-become distances by one more coordinate that gives all nodes the same length. Queries
-go to every shard in blocks; a beam search finds candidates, whose inner products are
-then computed in double precision on the original vectors.
+length class (a factor of two) and hash; the number of shards of a class follows the
+number of its nodes. In each shard the nodes are inserted in random order: a greedy
+beam search over the graph so far proposes neighbours, relaxed distance pruning keeps
+those that no kept one dominates (closer to it by the factor ``alpha``), and reverse
+edges are pruned the same way. Inner products become distances by one more coordinate
+that gives all nodes of a shard the same length; since lengths within a shard are alike
+and scaled to about one, single precision is enough for that. Queries go to every shard
+in blocks; a beam search finds candidates, and where it reaches too few because a graph
+has come apart, the shard is scanned. Inner products are then computed in double
+precision on the original vectors.
+
+Every query meets every shard, so work grows with queries times shards. Shards and
+blocks grow with the table up to what a task can hold (``held`` bytes); beyond, the work
+is quadratic where queries are a fixed share of the rows.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components
 take no part, neither as queries nor as candidates, nor do null ids. Vectors of another
@@ -25,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import settle
+from pagemill.llm.common import partitions, settle
 
 
 def beam_search(
@@ -110,9 +117,14 @@ def on_sphere(vectors: np.ndarray) -> np.ndarray:
     return np.hstack([vectors, np.sqrt(np.maximum(squares.max() - squares, 0))[:, None]]).astype(np.float32)
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """All vectors times one power of two, so that the largest component is about one."""
+    return np.ldexp(vectors, -int(np.frexp(np.abs(vectors).max())[1]))
+
+
 def build(vectors: np.ndarray, degree: int, beam: int, alpha: float) -> Graph:
     """Insert all vectors into a graph of at most ``degree`` edges per node."""
-    x = on_sphere(vectors)
+    x = on_sphere(scaled(vectors))
     n = len(x)
     edges = np.full((n, degree), -1, dtype=np.int64)
     counts = np.zeros(n, dtype=np.int64)
@@ -156,7 +168,7 @@ def _matrix(column: pa.ChunkedArray, dim: int, dtype: type) -> np.ndarray:
     return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]).astype(dtype).reshape(-1, dim)
 
 
-_GRAPH = "dim int, shard int, block int, vectors binary, edges binary, entry bigint, ids binary, starts binary"
+_GRAPH = "dim int, shard bigint, block int, vectors binary, edges binary, entry bigint, ids binary, starts binary"
 
 
 def _usable(vectors: DataFrame) -> DataFrame:
@@ -165,13 +177,21 @@ def _usable(vectors: DataFrame) -> DataFrame:
     return one.filter(F.col("vec_id").isNotNull() & finite & F.exists("embedding", lambda v: v != 0)).withColumn("dim", F.size("embedding"))
 
 
-def build_graphs(vectors: DataFrame, k: int, shard_size: int, degree: int, beam: int, alpha: float) -> DataFrame:
+def build_graphs(vectors: DataFrame, k: int, shard_size: int, degree: int, beam: int, alpha: float, held: int = 64 << 20) -> DataFrame:
     """One row per shard: its vectors, edges and ids (for equal vectors, the ``k`` + 1 smallest)."""
     same = Window.partitionBy("dim", "embedding").orderBy("vec_id")
     few = _usable(vectors).withColumn("_place", F.dense_rank().over(same)).filter(F.col("_place") <= k + 1)
-    nodes = settle(few.groupBy("dim", "embedding").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")), "nodes")
-    shards = max(1, -(-nodes.count() // shard_size))
-    nodes = nodes.withColumn("shard", F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int"))
+    nodes = few.groupBy("dim", "embedding").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
+    # Lengths by powers of two, from the largest component so that squares cannot overflow.
+    largest = F.array_max(F.transform("embedding", F.abs))
+    length = F.log2(largest) + F.log2(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + (v / largest) * (v / largest))) / 2
+    nodes = settle(nodes.withColumn("class", F.floor(length + 0.5).cast("int")), "nodes")
+    total, widest = nodes.agg(F.count(F.lit(1)), F.coalesce(F.max("dim"), F.lit(1))).first()
+    shard_size = max(1, min(held // (8 * widest + 8 * degree), max(shard_size, total // (2 * partitions(vectors.sparkSession)))))
+    sizes = nodes.groupBy("dim", "class").agg(F.ceil(F.count(F.lit(1)) / shard_size).cast("bigint").alias("shards"))
+    # A number of its own for each class's run of shards.
+    nodes = nodes.join(F.broadcast(sizes) if sizes.limit(10_001).count() <= 10_000 else sizes, ["dim", "class"])
+    nodes = nodes.withColumn("shard", F.pmod(F.xxhash64("embedding"), F.col("shards")) * 4096 + F.col("class") + 2048)
 
     def graph(key: tuple, group: pa.Table) -> pa.Table:
         dim = key[0].as_py()
@@ -183,18 +203,20 @@ def build_graphs(vectors: DataFrame, k: int, shard_size: int, degree: int, beam:
             "dim": key[0].as_py(), "shard": key[1].as_py(), "block": 0, "vectors": exact.tobytes(), "edges": made.edges.astype(np.int32).tobytes(),
             "entry": made.entry, "ids": np.concatenate(lists).astype(np.int64).tobytes(), "starts": starts.tobytes(),
         }
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
         return pa.Table.from_arrays([pa.array([v], type=t) for v, t in zip(row.values(), kinds, strict=True)], names=list(row))
 
     return settle(nodes.groupBy("dim", "shard").applyInArrow(graph, _GRAPH), "graphs")
 
 
 def nearest(
-    queries: DataFrame, graphs: DataFrame, k: int, degree: int, beam: int, block_size: int = 1024
+    queries: DataFrame, graphs: DataFrame, k: int, degree: int, beam: int, block_size: int = 1024, held: int = 64 << 20
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest of each query's vector, other ids than its own."""
     asked = settle(_usable(queries).distinct(), "queries")
-    blocks = max(1, -(-asked.count() // block_size))
+    total, widest = asked.agg(F.count(F.lit(1)), F.coalesce(F.max("dim"), F.lit(1))).first()
+    block_size = min(held // (16 * widest), max(block_size, total // (2 * partitions(queries.sparkSession))))
+    blocks = max(1, -(-total // block_size))
     places = graphs.select("dim", F.col("shard").alias("_place"))
     dealt = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).join(places, "dim").withColumnRenamed("_place", "shard")
     spread = graphs.drop("block").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -209,7 +231,7 @@ def nearest(
             exact = np.frombuffer(held["vectors"], dtype=np.float64).reshape(-1, dim)
             edges = np.frombuffer(held["edges"], dtype=np.int32).reshape(len(exact), degree).astype(np.int64)
             owners, starts = np.frombuffer(held["ids"], dtype=np.int64), np.frombuffer(held["starts"], dtype=np.int64)
-            x = on_sphere(exact)
+            x = on_sphere(scaled(exact))
             flat = np.hstack([wanted, np.zeros((len(wanted), 1))])
             # The order by inner product ignores the query's length, which float32 may not hold.
             flat = (flat / np.abs(flat).max(axis=1, keepdims=True)).astype(np.float32)
@@ -217,6 +239,8 @@ def nearest(
                 found, _ = beam_search(x, edges, held["entry"], flat[start:start + 256], beam)
                 for q in range(len(found)):
                     at = found[q][found[q] >= 0]
+                    if len(at) < min(k + 1, len(exact)):
+                        at = np.arange(len(exact))
                     score = exact[at] @ wanted[start + q]
                     best = at[np.argsort(-score, kind="stable")[: k + 1]]
                     own = int(ids[start + q])

@@ -1,6 +1,8 @@
 """Graph search against brute force, pruning against its definition, and edge cases."""
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from pagemill.llm import neighbours
 from pagemill.llm.catalog import op10_nearest_neighbours
@@ -62,6 +64,30 @@ def test_recall(spark):
     assert all(abs(s - x[q] @ x[i]) < 1e-9 for q, found in got.items() for i, s in found)
 
 
+@pytest.mark.parametrize("stretch", [{7: 1e4}, {7: 1e6, 8: 1e6, 9: 1e-6}, {None: 1e25}, {None: 1e-25, 5: 1e-20}, {k: 1000.0 for k in range(0, 1500, 3)}])
+def test_recall_with_lengths_far_apart(spark, stretch):
+    """Unit vectors, of which some (None: all) are stretched; full lists in any case."""
+    dice = np.random.default_rng(4)
+    x = dice.normal(size=(1500, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for k, factor in stretch.items():
+        x[slice(None) if k is None else k] *= factor
+    rows = list(enumerate(x.tolist()))
+    got = answers(neighbours.search(frame(spark, rows), frame(spark, rows).filter("vec_id % 20 = 0"), shard_size=800))
+    want = brute(rows, set(range(0, 1500, 20)), 20)
+    assert all(len(found) == 20 for found in got.values()) and got.keys() == want.keys()
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 0.9 * 20 * len(want)
+
+
+def test_a_graph_that_came_apart_is_scanned(spark):
+    dice = np.random.default_rng(6)
+    rows = list(enumerate(dice.normal(size=(300, 8)).tolist()))
+    df = frame(spark, rows)
+    graphs = neighbours.build_graphs(df, 20, 100, 8, 16, 1.2)
+    got = answers(neighbours.nearest(df.filter("vec_id % 20 = 0"), graphs.withColumn("edges", F.expr("unhex(repeat('ff', length(edges)))")), 20, 8, 32))
+    assert got == brute(rows, set(range(0, 300, 20)), 20)
+
+
 def test_given_vectors(spark):
     folder = "/root/testdata/sf0.001"
     rows = [(r.vec_id, list(map(float, r.embedding))) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
