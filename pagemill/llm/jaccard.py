@@ -21,8 +21,8 @@ and none is listed or counted.
 
 Defined results: words are runs of anything but ASCII white space, with A-Z lowered; a
 text of fewer words than a shingle is one shingle; a text without words, or null, has
-none and is alone. Rows that share a doc_id are one node of the graph per text: they
-give one row for each different shingle set, all with the id's least component. A null
+none and is alone. Rows that share a doc_id are one node of the graph, whatever their
+texts: they give one row for each different shingle set, all with the id's component. A null
 doc_id is alone and gives null. An empty table gives no rows. Only doc_id and text are
 read. Shingles are compared by 64-bit hashes in sets and by their upper 48 bits between
 sets, where a false match in a pair of a thousand shingles each has a chance below 1e-8.
@@ -37,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import partitions, settle, slices
@@ -310,7 +310,12 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80, block_do
     first = first.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
     first = first.unionByName(sets.filter("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b"))).distinct()
     first = settle(first, "pairs")
-    links = settle(verify(first, sets, percent), "links")
+    # Different sets of one id are linked by it. Nodes are ids, and a set stands for the least id that holds it.
+    named = rows.filter("doc_id IS NOT NULL").select("doc_id", "digest", "n").distinct()
+    repeated = settle(named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1").select("doc_id"), "repeated")
+    held = named.join(repeated, "doc_id").join(same, ["digest", "n"]).filter("doc_id <> rep")
+    held = held.select(F.least("doc_id", "rep").alias("a"), F.greatest("doc_id", "rep").alias("b"))
+    links = settle(verify(first, sets, percent).unionByName(held), "links")
     parts = settle(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
 
     # Where different components still meet.
@@ -324,14 +329,19 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80, block_do
     rest = outside.alias("x").join(named.alias("y"), "token").filter(f"x.component <> y.component AND {sized} AND {fits}")
     rest = rest.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     more = settle(verify(settle(rest, "rest"), sets, percent), "links")
-    parts = components(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    parts = settle(components(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
 
     reach = settle(same.join(parts, same["rep"] == parts["node"], "left").select("digest", "n", "rep", F.coalesce("component", "rep").alias("component")), "reach")
     out = rows.select("doc_id", "n", "digest").distinct().join(reach, ["digest", "n"], "left")
     # A candidate's set may also be held by a row that is no node, such as one without id.
+    found = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+    if repeated.limit(1).count():  # a set of the id that nobody else has, or an empty one, follows the id
+        of_id = repeated.join(parts, repeated["doc_id"] == parts["node"]).select("doc_id", F.col("component").alias("of_id"))
+        out = out.join(of_id, "doc_id", "left")
+        found = F.coalesce("of_id", found)
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        found.alias("component_id"),
         F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("set_id"),
     )
 
@@ -339,10 +349,13 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80, block_do
 def drop_linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents that are the first of their component, with their columns.
 
-    An id stays once; without an id, each different text does. The one exchange of the
-    texts serves the join and repeated rows.
+    An id stays once, with the row of its text that has the least digest; without an id,
+    each different text does. The one exchange of the texts serves the join and repeated rows.
     """
     name = F.coalesce(F.col("doc_id").cast("bigint").cast("string"), F.lit(""))
     found = link_components(docs, words, percent).filter("doc_id IS NULL OR component_id = doc_id").select(name.alias("_name")).distinct()
-    marks = {"_name": name, "_text": F.when(F.col("doc_id").isNull(), F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))}
-    return docs.withColumns(marks).join(found, "_name").dropDuplicates(["_name", "_text"]).select(*docs.columns)
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    marks = {"_name": name, "_text": F.when(F.col("doc_id").isNull(), digest), "_digest": digest}
+    first = Window.partitionBy("_name", "_text").orderBy("_digest")
+    kept = docs.withColumns(marks).join(found, "_name").withColumn("_place", F.row_number().over(first)).filter("_place = 1")
+    return kept.select(*docs.columns)

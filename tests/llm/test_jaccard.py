@@ -103,6 +103,44 @@ def test_blocks_of_any_size_agree(spark):
     assert got(jaccard.link_components(frame(spark, rows, 2), block_docs=7)) == want
 
 
+def test_an_id_with_several_texts_is_one_node(spark):
+    a, b, c = ("a b c d e f g h", "other words that nobody else has here", "x y z u v w t s")
+    rows = [(3, a), (5, a), (5, b), (5, ""), (8, b), (9, c), (1, c), (9, None), (20, "lone text of more than five words"), (20, "and another lone text by the same id"), (30, "q")]
+    want = want_of(rows)
+    found = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.link_components(frame(spark, rows)).collect()}
+    assert found == {(i, len(plain_set(t)), want[i]) for i, t in rows}
+    kept = [sorted((r.doc_id, r.text) for r in jaccard.drop_linked(frame(spark, rows, parts)).collect()) for parts in (1, 4)]
+    assert [i for i, _ in kept[0]] == [1, 3, 20, 30] and kept[0] == kept[1]
+
+
+def want_of(rows):
+    """Components over ids: links by similarity, and all texts of an id together."""
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, (i, t) in enumerate(rows):
+        for j, u in rows[k + 1:]:
+            a, b = plain_set(t), plain_set(u)
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                p, q = sorted((find(i), find(j)))
+                root[q] = p
+    return {i: find(i) for i in root}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_random_rows_with_repeated_ids(spark, seed):
+    dice = random.Random(seed)
+    texts = [t for _, t in near_copies(dice, 25, 5)]
+    rows = [(dice.randrange(60), t) for t in texts]
+    want = want_of(rows)
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.link_components(frame(spark, rows)).collect()} == {(i, len(plain_set(t)), want[i]) for i, t in rows}
+    assert sorted(r.doc_id for r in jaccard.drop_linked(frame(spark, rows)).collect()) == sorted(set(want.values()))
+
+
 def test_hashes_follow_the_words():
     dice = random.Random(3)
     texts = [" ".join(dice.choices(["a", "bb", "ccc", "É"], k=dice.randrange(0, 40))) for _ in range(200)]
