@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.functions.text import bind
+
 # Licence texts and statements as their publishers give them.
 KNOWN = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
@@ -76,7 +78,14 @@ def canonical(text: Column) -> Column:
     out = F.translate(F.concat(F.lit("\n"), F.coalesce(text, F.lit(""))), _UPPER, _LOWER)
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(old), F.lit(new))
-    for pattern, new in ((_NOTICE, "\n"), (_HOLDER, "\n"), (_PUNCTUATION, " "), (_BREAKS, "\n")):
+
+    def without_notices(body: Column) -> Column:
+        # Most texts have no word that a notice begins with, and are spared the patterns.
+        noted = F.contains(body, F.lit("copyright")) | F.contains(body, F.lit("(c)")) | F.contains(body, F.lit("©")) | F.contains(body, F.lit("all rights reserved"))
+        return F.when(noted, F.regexp_replace(F.regexp_replace(body, _NOTICE, "\n"), _HOLDER, "\n")).otherwise(body)
+
+    out = bind(out, without_notices)
+    for pattern, new in ((_PUNCTUATION, " "), (_BREAKS, "\n")):
         out = F.regexp_replace(out, pattern, new)
     return F.btrim(out, F.lit(" \n"))
 
@@ -157,24 +166,39 @@ def _runs(heads: dict[str, list[int]], width: int):
     return find
 
 
+#: Known texts go to every task as digests.
+MOST_KNOWN = 20_000
+
+
 def scan_licenses(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """doc_id, text_digest, license_id (of the whole text, null if unknown), statements (licences of runs of whole lines, comma-joined)."""
+    """doc_id, text_digest, license_id (of the whole text, null if unknown), statements (licences of runs of whole lines, comma-joined).
+
+    ``known`` may hold ``MOST_KNOWN`` different texts, so that digests are looked up where they arise and one row per document is exchanged.
+    """
     whole = lambda c: F.sha2(F.replace(c, F.lit("\n"), F.lit(" ")).cast("binary"), 256)
-    texts = known.select("license_id", F.replace(canonical(F.col("text")), F.lit("\n"), F.lit(" ")).alias("flat")).filter("flat <> ''").distinct().collect()
+    texts = known.select("license_id", F.replace(canonical(F.col("text")), F.lit("\n"), F.lit(" ")).alias("flat")).filter("flat <> ''").distinct()
+    texts = texts.limit(MOST_KNOWN + 1).collect()
+    if len(texts) > MOST_KNOWN:
+        raise ValueError(f"more than {MOST_KNOWN} known texts")
     width = min([24, *(len(r.flat) for r in texts)])
-    heads = defaultdict(set)
+    heads, names = defaultdict(set), defaultdict(set)
     for r in texts:
         heads[r.flat[:width]].add(len(r.flat))
-    units = [(r.license_id, hashlib.sha256(r.flat.encode()).hexdigest()) for r in texts]
-    digests = known.sparkSession.createDataFrame(units, "license_id string, unit string")
+        names[hashlib.sha256(r.flat.encode()).hexdigest()].add(r.license_id)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), canonical(F.col("text")).alias("body"))
     rows = rows.mapInArrow(_runs({h: sorted(n) for h, n in heads.items()}, width), "doc_id bigint, body string, runs array<string>")
     rows = rows.select("doc_id", whole(F.col("body")).alias("text_digest"), F.split("body", "\n").alias("lines"), "runs")
-    units = F.concat(F.array("text_digest"), F.transform("lines", lambda x: F.sha2(x.cast("binary"), 256)), "runs")
-    found = rows.select("doc_id", "text_digest", F.posexplode(units).alias("place", "unit")).join(digests, "unit", "left")
-    named = lambda test: F.array_join(F.array_sort(F.collect_set(F.when(test, F.col("license_id")))), ",")
-    return found.groupBy("doc_id", "text_digest").agg(
-        F.nullif(named(F.col("place") == 0), F.lit("")).alias("license_id"), named(F.col("place") > 0).alias("statements")
+    if names:
+        entries = [x for digest, ids in sorted(names.items()) for x in (F.lit(digest), F.array(*map(F.lit, sorted(ids))))]
+        of = lambda digest: F.when(digest.isin(*names), F.element_at(F.create_map(*entries), digest))
+        found = F.filter(F.concat(F.transform("lines", lambda x: F.sha2(x.cast("binary"), 256)), "runs"), lambda x: x.isin(*names))
+        license_ids, statements = of(F.col("text_digest")), F.flatten(F.transform(found, of))
+    else:
+        license_ids, statements = F.lit(None).cast("array<string>"), F.array().cast("array<string>")
+    rows = rows.select("doc_id", "text_digest", F.array_join(license_ids, ",").alias("license_id"), F.array_sort(F.array_distinct(statements)).alias("statements"))
+    # Repeated rows become one.
+    return rows.groupBy("doc_id", "text_digest").agg(
+        F.max("license_id").alias("license_id"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("statements")))), ",").alias("statements")
     )
 
 
