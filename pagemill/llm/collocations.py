@@ -31,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ from pagemill.llm.common import settle, slices
 _LOW = bytes(10 if chr(c) in ".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _TURN, _MIX = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0x9E3779B97F4A7C15)
 #: A filter has 16 bits per member, up to 16 MB; a block so many bytes of text of one language, or the last text beyond.
-_MOST_BITS, _BLOCK = 27, 16 << 20
+_MOST_BITS, _BLOCK = 27, 8 << 20
 
 
 def _blend(h: np.ndarray) -> np.ndarray:
@@ -143,14 +144,12 @@ _COUNT = "lang string, phrase string, n bigint"
 
 def _rows(lang: str, phrase: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatch]:
     phrase = phrase.cast(pa.string())
-    whole = pa.RecordBatch.from_arrays([pa.array([lang] * len(n), type=pa.string()), phrase, pa.array(n.astype(np.int64))], names=["lang", "phrase", "n"])
+    whole = pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, type=pa.string()), len(n)), phrase, pa.array(n.astype(np.int64))], names=["lang", "phrase", "n"])
     for start in range(0, len(n), 50_000):
         yield whole.slice(start, 50_000)
 
 
 def _joined(block: Block, *codes: np.ndarray) -> pa.Array:
-    import pyarrow.compute as pc
-
     return pc.binary_join_element_wise(*(block.words.take(pa.array(c)) for c in codes), pa.scalar(" ", type=pa.large_string()))
 
 
@@ -158,6 +157,7 @@ def _count(docs: DataFrame, of_block: Callable[[Block], Iterator[pa.RecordBatch]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
             yield from of_block(block)
+            pa.default_memory_pool().release_unused()
 
     counted = docs.mapInArrow(run, _COUNT).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     return settle(counted.filter(F.col("n") >= least), "phrases")
