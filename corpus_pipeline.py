@@ -29,7 +29,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact_dedup.drop_copies(docs, exact_dedup.DigestIndex.open(spark, shared_path(spark, "digest-index"), partitions(spark)))
+    index = exact_dedup.DigestIndex.open(spark, shared_path(spark, "digest-index"), partitions(spark))
+    kept = exact_dedup.drop_copies(docs, index)
+    index.close()
+    return kept
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,6 +60,7 @@ def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 def op8_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     index = exact_dedup.DigestIndex.open(spark, shared_path(spark, "digest-index"), partitions(spark))
     found = exact_dedup.deduplicate(table(spark, sf, "documents"), index)
+    index.close()
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 

@@ -46,6 +46,10 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def close(self) -> None:
+        """Take the index out of the catalogue; its files stay, and results already made do not need it."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def append(self, rows: DataFrame) -> None:
         """Add digests that are not in the index yet."""
         self.spark.catalog.refreshTable(self.name)

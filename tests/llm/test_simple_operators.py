@@ -1,6 +1,7 @@
 """Secrets, language, exact dedup and packing against plain versions, and their edge cases."""
 
 import hashlib
+import os
 import random
 import re
 import string
@@ -14,7 +15,8 @@ from tokenizers import Tokenizer
 
 from pagemill.llm import exact_dedup, language_id, packing, secrets
 from pagemill.llm.catalog import TOKENIZER, op8_exact_dedup
-from pagemill.llm.common import shared_path
+from pagemill.llm.common import scratch, shared_path
+from pagemill.operators.sizing import checkpoint_folder
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, keep_id string, digest string, start string, score int"
 
@@ -194,6 +196,17 @@ def test_exact_dedup(spark):
     assert sorted(t or "" for t in (r.text for r in stay.collect())) == sorted(groups)
 
 
+def test_nothing_is_left_behind(spark):
+    folder = "/root/testdata/sf0.001"
+    place = checkpoint_folder(spark).removeprefix("file:")
+    before, tables = set(os.listdir(place)), {t.name for t in spark.catalog.listTables()}
+    with scratch(spark):
+        found = op8_exact_dedup(spark, folder).collect()
+        assert set(os.listdir(place)) > before
+    assert len(found) == spark.read.parquet(f"{folder}/documents.parquet").count()
+    assert set(os.listdir(place)) == before and {t.name for t in spark.catalog.listTables()} == tables
+
+
 def test_index_persists(spark):
     path = shared_path(spark, "index")
     first = exact_dedup.deduplicate(frame(spark, [(1, "a", None), (2, "b", None)]), exact_dedup.DigestIndex.open(spark, path, 4))
