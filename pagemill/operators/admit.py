@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.functions.memo import kept_columns
 from pagemill.functions.text import bind
 from pagemill.functions.urls import url_path
 from pagemill.operators.seen import SeenIndex
@@ -36,6 +37,12 @@ def rule_violation(url: Column, prefix: str | None = None, regex: str | None = N
     return bind(url_path(url), check)
 
 
+@kept_columns
+def url_rule(prefix: str | None = None, regex: str | None = None) -> Column:
+    """The rule of :func:`rule_violation` for the column ``url``."""
+    return rule_violation(F.col("url"), prefix, regex)
+
+
 def admit_urls(
     urls: DataFrame,
     seen: DataFrame | None = None,
@@ -53,7 +60,7 @@ def admit_urls(
         first = first.join(seen.select("url").distinct().withColumn("_seen", F.lit(True)), "url", "left")
     else:
         first = first.withColumn("_seen", F.lit(None).cast("boolean"))
-    reason = F.when(F.col("_seen"), "duplicate").otherwise(rule_violation(F.col("url"), prefix, regex))
+    reason = F.when(F.col("_seen"), "duplicate").otherwise(url_rule(prefix, regex))
     judged = first.select("url", order, F.lit(True).alias("_first"), reason.alias("_reason"))
     # Only first occurrences find a partner. With the order in the key, the many
     # occurrences of a popular URL spread over all tasks.
@@ -79,7 +86,7 @@ def reject_counts(
     if seen is not None:
         once = once.join(seen.select("url").distinct().withColumn("_seen", F.lit(True)), "url", "left")
         stored = F.coalesce("_seen", F.lit(False))
-    reason = F.when(stored, "duplicate").otherwise(F.coalesce(rule_violation(F.col("url"), prefix, regex), F.lit("admitted")))
+    reason = F.when(stored, "duplicate").otherwise(F.coalesce(url_rule(prefix, regex), F.lit("admitted")))
     parts = F.array(F.struct(reason.alias("reason"), F.lit(1).cast("bigint").alias("n")), F.struct(F.lit("duplicate").alias("reason"), (F.col("n") - 1).alias("n")))
     return once.select(F.inline(parts)).groupBy("reason").agg(F.sum("n").alias("urls")).where("urls > 0")
 
@@ -100,7 +107,7 @@ def admitted_urls(
     first = urls.groupBy("url").agg(
         F.min(order).alias(order), *[F.min_by(name, order).alias(name) for name in keep]
     )
-    allowed = first.where(rule_violation(F.col("url"), prefix, regex).isNull())
+    allowed = first.where(url_rule(prefix, regex).isNull())
     return seen.unseen(allowed) if isinstance(seen, SeenIndex) else allowed.join(seen.select("url"), "url", "left_anti")
 
 

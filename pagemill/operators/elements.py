@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import markup
+from pagemill.functions.memo import kept_columns
 from pagemill.functions.text import SPACE
 
 # Elements that are never main content.
@@ -58,12 +59,15 @@ def tag_rows(pages: DataFrame, key: str = "page_id", carry: tuple[str, ...] = ()
     exploded = split.select(
         key, *carry, F.size("_tokens").alias("page_tokens"), F.posexplode_outer("_tokens").alias("pos", "token")
     ).where(markup.is_tag(F.col("token")))
+    return exploded.select(*_read_out(key, carry)).select(*_roles(key, carry))
+
+
+@kept_columns
+def _read_out(key: str, carry: tuple[str, ...]) -> list[Column]:
+    """What is read from a tag token."""
     token, is_open = F.col("token"), ~markup.is_closer(F.col("token"))
-    read_out = exploded.select(
-        key,
-        *carry,
-        "page_tokens",
-        "pos",
+    return [
+        *map(F.col, (key, *carry, "page_tokens", "pos")),
         markup.tag_name(token).alias("tag"),
         markup.is_closer(token).alias("closer"),
         markup.is_self_closed(token).alias("self_closed"),
@@ -75,7 +79,12 @@ def tag_rows(pages: DataFrame, key: str = "page_id", carry: tuple[str, ...] = ()
             token.rlike(r"(?i)^<meta\b"),
             F.struct(*[markup.attribute(token, name).alias(name) for name in ("name", "property", "content")]),
         ).alias("meta"),
-    )
+    ]
+
+
+@kept_columns
+def _roles(key: str, carry: tuple[str, ...]) -> list[Column]:
+    """The part that a tag plays in the structure."""
     void = F.col("tag").isin(*markup.VOID_TAGS) | F.col("self_closed")
     tag, opener = F.col("tag"), ~F.col("closer")
     family = F.create_map(*[F.lit(part) for pair in _FAMILY.items() for part in pair])
@@ -84,13 +93,10 @@ def tag_rows(pages: DataFrame, key: str = "page_id", carry: tuple[str, ...] = ()
     )
     noise = opener & (tag.isin(*NOISE_TAGS) | marked)
     plain = F.coalesce("css_class", "css_id", "role").isNull() & ~tag.isin("main", "article")
-    return read_out.select(
-        key,
+    return [
+        F.col(key),
         *[F.when(tag == "a", F.col(name)).alias(name) for name in carry],
-        "page_tokens",
-        "pos",
-        "tag",
-        "closer",
+        *map(F.col, ("page_tokens", "pos", "tag", "closer")),
         F.when(F.col("closer") & tag.isin(*markup.VOID_TAGS), F.lit("ignored"))
         .when(void & opener, F.lit("void"))
         .when(tag.isin(*_FAMILY), F.lit("implied"))
@@ -103,9 +109,8 @@ def tag_rows(pages: DataFrame, key: str = "page_id", carry: tuple[str, ...] = ()
             _selectors(tag, F.coalesce("css_class", F.lit("")), F.coalesce("css_id", F.lit("")), F.coalesce("role", F.lit("")))
         )
         .alias("selectors"),
-        "href",
-        "meta",
-    )
+        *map(F.col, ("href", "meta")),
+    ]
 
 
 _PAYLOAD = ("noise", "unread", "selectors", "href", "meta")

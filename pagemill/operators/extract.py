@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import markup, text
 from pagemill.functions.entities import decode_entities
+from pagemill.functions.memo import kept_columns
 from pagemill.functions.urls import normalize_url, resolve_url, url_domain
 from pagemill.operators.elements import elements, tag_rows
 
@@ -200,6 +201,33 @@ def field_record(page_tokens: Column, runs: Column, meta: Column, *extra: Column
     )
 
 
+@kept_columns
+def _page_fields(links: str | None) -> Column:
+    """The fields of a page that has met its layout row, as an array of one struct; null without text."""
+
+    def extra(page_tokens: Column) -> list[Column]:
+        return [raw_references(page_tokens).alias("references")] if links == "raw" else []
+
+    # Each stage is bound once. The closing generator keeps the emptiness test from
+    # being pushed down, its outer form from being inferred: either way all stages
+    # would be evaluated again.
+    return text.bind(
+        markup.tokens(F.col("html")),
+        lambda toks: text.bind(visible_text(toks, F.col("cuts")), lambda runs: field_record(toks, runs, meta_map(), *extra(toks))),
+    )
+
+
+@kept_columns
+def _internal_links(seed_domain: str | None) -> Column:
+    """The distinct links inside the site among a page's ``references``."""
+    home = F.lit(seed_domain) if seed_domain is not None else url_domain(F.col("url"))
+    resolved = F.transform(
+        F.coalesce("references", F.array().cast("array<string>")),
+        lambda href: normalize_url(resolve_url(F.col("url"), decode_entities(href))),
+    )
+    return F.array_distinct(text.bind(home, lambda h: F.filter(F.array_compact(resolved), lambda link: url_domain(link) == h)))
+
+
 def extract_fields(
     pages: DataFrame, key: str = "page_id", keep: tuple[str, ...] = (), links: str | None = None, seed_domain: str | None = None
 ) -> DataFrame:
@@ -217,29 +245,13 @@ def extract_fields(
     layout = page_layout(spread, key, anchors=links == "cleaned").hint("shuffle_hash")
     joined = spread.join(layout, key, "left")
 
-    def extra(page_tokens: Column) -> list[Column]:
-        return [raw_references(page_tokens).alias("references")] if links == "raw" else []
-
-    # Each stage is bound once. The closing generator keeps the emptiness test from
-    # being pushed down, its outer form from being inferred: either way all stages
-    # would be evaluated again.
-    fields = text.bind(
-        markup.tokens(F.col("html")),
-        lambda toks: text.bind(visible_text(toks, F.col("cuts")), lambda runs: field_record(toks, runs, meta_map(), *extra(toks))),
-    )
     cleaned = [F.transform("anchors", lambda a: a["href"]).alias("references")] if links == "cleaned" else []
-    found = joined.select(key, *cleaned, F.inline_outer(fields)).where(F.col("body_text").isNotNull())
+    found = joined.select(key, *cleaned, F.inline_outer(_page_fields(links))).where(F.col("body_text").isNotNull())
     if keep:
         found = found.join(pages.select(key, *keep).hint("shuffle_hash"), key)
     if not links:
         return found
-    home = F.lit(seed_domain) if seed_domain is not None else url_domain(F.col("url"))
-    resolved = F.transform(
-        F.coalesce("references", F.array().cast("array<string>")),
-        lambda href: normalize_url(resolve_url(F.col("url"), decode_entities(href))),
-    )
-    inside = text.bind(home, lambda h: F.filter(F.array_compact(resolved), lambda link: url_domain(link) == h))
-    return found.withColumn("links_internal", F.array_distinct(inside)).drop("references")
+    return found.withColumn("links_internal", _internal_links(seed_domain)).drop("references")
 
 
 def page_links(

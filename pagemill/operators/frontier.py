@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions.urls import normalize_url
-from pagemill.operators.admit import rule_violation
+from pagemill.operators.admit import url_rule
 from pagemill.operators.bucketed import BucketedTable
 from pagemill.operators.sizing import checkpoint_folder, global_rank
 
@@ -102,7 +102,7 @@ def next_level(queue: DataFrame, depth: int, prefix: str | None = None, regex: s
     found = saved.select(F.col("url").alias("parent_url"), F.col("rank").alias("way"), F.inline("links").alias("place", "url"))
     # First occurrence per link; partial aggregation absorbs popular targets before the exchange.
     first = found.groupBy("url").agg(F.min(F.struct(F.concat("way", F.array("place")).alias("rank"), "parent_url")).alias("at"))
-    admitted = first.where(rule_violation(F.col("url"), prefix, regex).isNull())
+    admitted = first.where(url_rule(prefix, regex).isNull())
     return admitted.join(queue.select("url"), "url", "left_anti").select("url", "at.parent_url", "at.rank")
 
 
@@ -141,7 +141,7 @@ def _levels(
     stored = spark.createDataFrame([], "url string") if seen_urls is None else seen_urls.select("url").distinct()
     queue.append(hashed(stored).withColumns({"depth": F.lit(-1), **blank}))
     seed = spark.range(1).select(normalize_url(F.lit(start_url)).alias("url"))
-    level = seed.where(rule_violation(F.col("url"), prefix, regex).isNull() & F.col("url").isNotNull())
+    level = seed.where(url_rule(prefix, regex).isNull() & F.col("url").isNotNull())
     level = hashed(level).join(queue.read().select("url"), "url", "left_anti")
     level = level.select("url", blank["parent_url"].alias("parent_url"), F.array().cast("array<bigint>").alias("rank"))
     budget = None if max_pages is None else max_pages - existing_on_domain

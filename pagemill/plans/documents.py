@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill.config import CrawlConfig
+from pagemill.functions.memo import kept_columns
 from pagemill.functions.urls import normalize_url, url_domain
 from pagemill.operators.bucketed import BucketedTable
 from pagemill.operators.enrich import assemble_documents
@@ -22,6 +23,11 @@ from pagemill.sources.collection import load_documents, upsert_documents
 from pagemill.sources.fetches import judge_fetches
 
 
+@kept_columns
+def _canonical() -> Column:
+    return normalize_url(F.col("url"))
+
+
 def parse_pages(
     pages: DataFrame,
     extractor: str = "heuristic",
@@ -39,9 +45,9 @@ def parse_pages(
     scope = link_scope or chosen.link_scope
     if chosen.fields is extract_fields:
         parsed = extract_fields(pages, key, ("url", "fetched_at", *keep), links=scope, seed_domain=seed_domain)
-        return parsed.withColumn("url", normalize_url(F.col("url"))).where(F.col("url").isNotNull())
+        return parsed.withColumn("url", _canonical()).where(F.col("url").isNotNull())
     links = link_lists(page_links(pages, key, scope, seed_domain), key)
-    heads = pages.select(key, normalize_url(F.col("url")).alias("url"), "fetched_at", *keep)
+    heads = pages.select(key, _canonical().alias("url"), "fetched_at", *keep)
     return (
         chosen.fields(pages, key)
         .join(heads.where(F.col("url").isNotNull()), key)
@@ -96,7 +102,7 @@ def run_expansion(
 
     # One fetch per canonical URL: the latest that succeeded, the latest of all where none did.
     site = judge_fetches(fetches.where(url_domain(F.col("url")) == seed_domain))
-    latest = site.groupBy(normalize_url(F.col("url")).alias("url")).agg(F.max(F.struct("success", "fetched_at", "page_id")).alias("at"))
+    latest = site.groupBy(_canonical().alias("url")).agg(F.max(F.struct("success", "fetched_at", "page_id")).alias("at"))
     heads = BucketedTable.open(spark, f"{folder}/heads", _HEADS, "url", walk_buckets(site))
     heads.append(latest.select("url", F.col("at.page_id").cast("bigint").alias("page_id"), "at.success"))
     log = fetches.select("page_id", F.col("final_url").alias("url"), "html", "fetched_at")
