@@ -142,6 +142,75 @@ def test_views_teach_each_other():
     assert not np.allclose(model.text, alone.text)
 
 
+def plain_text_view(text):
+    """The text view by counting one pair, word and line after the other."""
+    kinds = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", "\n\r", ".", ",", "!?", "'\"", "-:;", "#", "$%", "&*", "|/\\"]
+    body = text.encode()
+    kind = [15 if b >= 128 else next((k for k, chars in enumerate(kinds) if chr(b) in chars), 14) for b in body]
+    view = [0.0] * (16 * 16)
+    for a, b in itertools.pairwise(kind):
+        view[16 * a + b] += 1
+    total = sum(view)
+    view = [math.sqrt(v / total) if total else 0.0 for v in view]
+    words, lines = body.split(), [x for x in body.split(b"\n") if x]
+    new = 0
+    for k in range(len(words)):
+        new += words[k] not in words[k - k % 100:k]
+    n = max(1, len(words))
+    return [*view, new / n, len(set(lines)) / max(1, len(lines)), min(2.0, len(body) / n / 10), 1 / math.sqrt(n), min(1.0, len(lines) / n * 5)]
+
+
+def test_text_view_equals_plain_counts():
+    dice = random.Random(21)
+    texts = ["", "a", "É", "a b\n\nC9 | x"] + ["".join(dice.choices("abzAZ09 \t\n.,!?'-#$&|/é\u4e2d{", k=dice.randrange(400))) for _ in range(60)] + ["word other " * 300]
+    for text in texts:
+        assert quality.text_view(text) == pytest.approx(plain_text_view(text), abs=1e-6)
+
+
+def plain_cotrain(x, y, draw, rounds, sure):
+    """Co-training one document at a time; the final chance of each row."""
+    n = len(y)
+    held = [y[i] >= 0 and draw[i] % 4 == 0 for i in range(n)]
+    base = [y[i] >= 0 and not held[i] for i in range(n)]
+    share = sum(y[i] for i in range(n) if base[i]) / sum(base)
+    taught = [{i: y[i] for i in range(n) if base[i]} for _ in x]
+
+    def fit(v, known):
+        at = sorted(known)
+        return quality.fit_logistic(v[at], np.array([float(known[i]) for i in at]), l2=0.3)
+
+    def margin(w, row):
+        return max(-30.0, min(30.0, float(row @ w[:-1] + w[-1])))
+
+    for turn in range(rounds + 1):
+        models = [fit(v, known) for v, known in zip(x, taught, strict=True)]
+        if turn == rounds:
+            break
+        for me, peer in ((0, 1), (1, 0)):
+            chance = {i: 1 / (1 + math.exp(-margin(models[me], x[me][i]))) for i in range(n) if y[i] < 0 and i not in taught[peer]}
+            most = max(1, len(chance) // (2 * rounds))
+            for label, part in ((1, share), (0, 1 - share)):
+                surest = sorted(chance, key=lambda i: (-(chance[i] if label else 1 - chance[i]), i))[: max(1, int(most * part))]
+                taught[peer] |= {i: label for i in surest if (chance[i] if label else 1 - chance[i]) >= sure}
+    at = [i for i in range(n) if held[i]]
+    truth = np.array([float(y[i]) for i in at])
+    lines = [quality.fit_logistic(np.array([[margin(w, v[i])] for i in at]), truth, l2=0.01) for w, v in zip(models, x, strict=True)]
+    views = [[a * margin(w, v[i]) + b for (a, b), w, v in zip(lines, models, x, strict=True)] for i in range(n)]
+    mix = quality.fit_logistic(np.array([views[i] for i in at]), truth, l2=0.01)
+    return [1 / (1 + math.exp(-(views[i][0] * mix[0] + views[i][1] * mix[1] + mix[2]))) for i in range(n)]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_cotraining_equals_a_plain_version(seed):
+    dice = np.random.default_rng(seed)
+    truth = dice.integers(0, 2, 240)
+    x = [(dice.normal(size=(240, d)) + truth[:, None] * 1.2 * (np.arange(d) < 2)).astype(np.float32) for d in (6, 4)]
+    y = np.where(dice.random(240) < 0.4, truth, -1)
+    draw = dice.integers(0, 1000, 240)
+    model = quality.cotrain(x, y, draw, 3, 0.9)
+    assert model.score(*x) == pytest.approx(plain_cotrain(x, y, draw, 3, 0.9), abs=1e-4)
+
+
 def test_repeated_ids_teach_once(spark, monkeypatch):
     dice = random.Random(8)
     rows = [(i, " ".join(dice.choices(["good", "text"] if i % 2 else ["bad", "junk"], k=30)), "en") for i in range(60)]
