@@ -49,7 +49,7 @@ _BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) *
 _STEP = 0x9E3779B97F4A7C15
 _MANY = 0xFFFF
 #: A block holds up to so many shingles (or the last document over that) and documents.
-_BLOCK_SHINGLES, _BLOCK_DOCS = 500_000, 60_000
+_BLOCK_SHINGLES, _BLOCK_DOCS = 250_000, 60_000
 
 
 @lru_cache(maxsize=4)
@@ -261,9 +261,9 @@ def _finish(percent: int):
 def shingled(docs: DataFrame, words: int, percent: int, block_docs: int = _BLOCK_DOCS) -> DataFrame:
     """doc_id, n, digest of the set; for candidates the shared shingles, their prefix and its key. One row per row."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    # About a million shingles a range.
+    # About half a million shingles a range.
     letters = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(partitions(docs.sparkSession), letters // 6_000_000 + 1)
+    parts = max(partitions(docs.sparkSession), letters // 3_000_000 + 1)
     blocks = rows.mapInArrow(_to_blocks(parts, words, block_docs), _ROW)
     counted = blocks.groupBy("part").applyInArrow(_count_range, _ROW)
     return settle(counted.groupBy("block").applyInArrow(_finish(percent), _SETS), "shingled")
