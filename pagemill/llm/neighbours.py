@@ -168,7 +168,7 @@ def _matrix(column: pa.ChunkedArray, dim: int, dtype: type) -> np.ndarray:
     return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]).astype(dtype).reshape(-1, dim)
 
 
-_GRAPH = "dim int, shard bigint, block int, vectors binary, edges binary, entry bigint, ids binary, starts binary"
+_GRAPH = "dim int, shard int, block int, vectors binary, edges binary, entry bigint, ids binary, starts binary"
 
 
 def _usable(vectors: DataFrame) -> DataFrame:
@@ -189,9 +189,11 @@ def build_graphs(vectors: DataFrame, k: int, shard_size: int, degree: int, beam:
     total, widest = nodes.agg(F.count(F.lit(1)), F.coalesce(F.max("dim"), F.lit(1))).first()
     shard_size = max(1, min(held // (8 * widest + 8 * degree), max(shard_size, total // (2 * partitions(vectors.sparkSession)))))
     sizes = nodes.groupBy("dim", "class").agg(F.ceil(F.count(F.lit(1)) / shard_size).cast("bigint").alias("shards"))
-    # A number of its own for each class's run of shards.
+    # Shards of a dimension are numbered through, class by class.
+    before = Window.partitionBy("dim").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("start", F.coalesce(F.sum("shards").over(before), F.lit(0)))
     nodes = nodes.join(F.broadcast(sizes) if sizes.limit(10_001).count() <= 10_000 else sizes, ["dim", "class"])
-    nodes = nodes.withColumn("shard", F.pmod(F.xxhash64("embedding"), F.col("shards")) * 4096 + F.col("class") + 2048)
+    nodes = nodes.withColumn("shard", (F.pmod(F.xxhash64("embedding"), F.col("shards")) + F.col("start")).cast("int"))
 
     def graph(key: tuple, group: pa.Table) -> pa.Table:
         dim = key[0].as_py()
@@ -203,10 +205,16 @@ def build_graphs(vectors: DataFrame, k: int, shard_size: int, degree: int, beam:
             "dim": key[0].as_py(), "shard": key[1].as_py(), "block": 0, "vectors": exact.tobytes(), "edges": made.edges.astype(np.int32).tobytes(),
             "entry": made.entry, "ids": np.concatenate(lists).astype(np.int64).tobytes(), "starts": starts.tobytes(),
         }
-        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
         return pa.Table.from_arrays([pa.array([v], type=t) for v, t in zip(row.values(), kinds, strict=True)], names=list(row))
 
-    return settle(nodes.groupBy("dim", "shard").applyInArrow(graph, _GRAPH), "graphs")
+    made = sizes.agg(F.coalesce(F.sum("shards"), F.lit(1))).first()[0]
+    return settle(_apart(nodes, made, "dim", "shard").groupBy("dim", "shard").applyInArrow(graph, _GRAPH), "graphs")
+
+
+def _apart(df: DataFrame, groups: int, *keys: str) -> DataFrame:
+    """Rows hashed by their group into more partitions than there are groups, so that few groups do not share a task."""
+    return df.repartition(max(partitions(df.sparkSession), min(4 * groups, 1024)), *keys)
 
 
 def nearest(
@@ -250,6 +258,8 @@ def nearest(
         return pa.Table.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=names)
 
     keys = ("dim", "shard", "block")
+    groups = blocks * graphs.count()
+    dealt, spread = _apart(dealt, groups, *keys), _apart(spread, groups, *keys)
     found = dealt.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInArrow(search, "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
