@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.functions.text import bind
 from pagemill.llm.common import partitions, settle
 
 
@@ -183,8 +184,10 @@ def build_graphs(vectors: DataFrame, k: int, shard_size: int, degree: int, beam:
     few = _usable(vectors).withColumn("_place", F.dense_rank().over(same)).filter(F.col("_place") <= k + 1)
     nodes = few.groupBy("dim", "embedding").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
     # Lengths by powers of two, from the largest component so that squares cannot overflow.
-    largest = F.array_max(F.transform("embedding", F.abs))
-    length = F.log2(largest) + F.log2(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + (v / largest) * (v / largest))) / 2
+    length = bind(
+        F.array_max(F.transform("embedding", F.abs)),
+        lambda most: F.log2(most) + F.log2(F.aggregate(F.transform("embedding", lambda v: v / most), F.lit(0.0), lambda s, v: s + v * v)) / 2,
+    )
     nodes = settle(nodes.withColumn("class", F.floor(length + 0.5).cast("int")), "nodes")
     total, widest = nodes.agg(F.count(F.lit(1)), F.coalesce(F.max("dim"), F.lit(1))).first()
     shard_size = max(1, min(held // (8 * widest + 8 * degree), max(shard_size, total // (2 * partitions(vectors.sparkSession)))))
