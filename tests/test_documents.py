@@ -5,14 +5,17 @@ import hashlib
 import json
 import os
 import random
+import re
 import shutil
 import threading
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from pagemill.config import CrawlConfig
-from pagemill.operators import admit, enrich, upsert
+from pagemill.functions.text import has_words, word_count
+from pagemill.operators import admit, enrich, language, upsert
 from pagemill.operators.language import detect_language, train_profile
 from pagemill.plans import contract, extractors, quality, report
 from pagemill.schema import DOCUMENT_SCHEMA
@@ -377,3 +380,36 @@ def test_both_ways_to_score_a_language_agree(spark):
     assert ways[0] == ways[1] == ways[2] and len(set(ways[0].values())) > 2
     plan = detect_language(texts, profile, "id")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(id") == 1 and "hashpartitioning(gram" not in plan.partition("BroadcastExchange")[0]
+
+
+def test_trigrams_are_counted_without_a_row_each(spark):
+    rows = [("aa", "Ab1c \U0001f600 \u00c9t\u00e9"), ("aa", "abab"), ("bb", ""), ("bb", None), (None, "xy"), ("cc", "\U00010400\u4e2d" * 3)]
+    counts = language.count_trigrams(spark.createDataFrame(rows, "lang string, text string"), "text", "lang")
+    want = Counter()
+    for lang, text in rows:
+        letters = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+        letters = " " + re.sub(" +", " ", letters) + " " if text is not None else ""
+        letters = re.sub("^  | +$", " ", letters)
+        want.update((lang, letters[i : i + 3]) for i in range(len(letters) - 2))
+    assert {(r.lang, r.gram): r.n for r in counts.collect()} == want
+    assert "Generate" not in counts._jdf.queryExecution().executedPlan().toString()
+
+
+def test_portions_of_texts_lose_no_trigram(monkeypatch):
+    rng = random.Random(7)
+    texts = ["".join(rng.choices("ab \u00e9\U00010400", k=k)) for k in (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 40, 1000)] + [None]
+    want = Counter((i, t[k : k + 3]) for i, t in enumerate(texts) for k in range(len(t or "") - 2))
+    for size in (1, 3, 4, 50, 10**6):
+        monkeypatch.setattr(language, "PORTION", size)
+        got = Counter()
+        for codes, rows in language._portions(enumerate(texts)):
+            got.update(zip(rows.tolist(), language._written(codes)))
+        assert got == want
+
+
+def test_has_words_agrees_with_their_count(spark):
+    rng = random.Random(8)
+    rows = [("".join(rng.choices("a\u00e9\u2003 \n\u20ac\x1f\x85", k=rng.randrange(60))),) for _ in range(400)] + [("",), (None,), (" ".join("a" * 20),), (" ".join("a" * 19) + "  ",)]
+    body = F.col("text")
+    found = spark.createDataFrame(rows, "text string").select(*[(word_count(body) >= n).eqNullSafe(has_words(body, n)).alias(f"n{n}") for n in (1, 2, 19, 20)])
+    assert all(all(r) for r in found.collect())
