@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.config import CrawlConfig
+from pagemill.functions import entities
 from pagemill.functions.text import has_words, word_count
 from pagemill.operators import admit, enrich, language, upsert
 from pagemill.operators.language import detect_language, train_profile
@@ -413,3 +414,17 @@ def test_has_words_agrees_with_their_count(spark):
     body = F.col("text")
     found = spark.createDataFrame(rows, "text string").select(*[(word_count(body) >= n).eqNullSafe(has_words(body, n)).alias(f"n{n}") for n in (1, 2, 19, 20)])
     assert all(all(r) for r in found.collect())
+
+
+def test_references_are_decoded_alike_by_both_ways(spark):
+    """Texts of few different references, whose replacements would make up new ones, and of many; non-characters among them."""
+    rng = random.Random(9)
+    parts = ["&", "&&#97;mp;", "&amp;", "&amp", "&lt", "&lt;", "&ltx", "&copy", "&copyx;", "&#38;", "lt;", "amp;", "#97;", "&#0097;", "&#xe9", "&#", "&#x", "&eacute;", " ", "x", ";",
+             "&nosuch;", "&#128;", "&#1114112;", "&#64976;", "&#xFDD1;", "\ufdd0", "\n"]
+    rows = [("".join(rng.choices(parts[: rng.choice([6, 22, 28])], k=rng.randrange(1, 30))),) for _ in range(400)]
+    rows += [("".join(f"&#{c};&#x{c:x}" for c in range(32, 32 + n)),) for n in (10, 32, 33, 200)] + [("",), (None,), ("&",)]
+    text = F.col("text")
+    found = spark.createDataFrame(rows, "text string").select(text, entities.decode_entities(text).alias("new"), entities._by_piece(text).alias("old")).collect()
+    assert all(r.new == r.old for r in found)
+    plan = spark.createDataFrame(rows, "text string").select(entities.decode_entities(text))._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" in plan  # whole texts, not pieces
