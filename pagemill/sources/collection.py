@@ -108,15 +108,17 @@ def skipped_lines(parsed: DataFrame, *place: str) -> DataFrame:
     return parsed.where(F.col("skip_reason").isNotNull()).select(*(place or ("file", "at")), "skip_reason", "value")
 
 
-def skipped_line_numbers(spark: SparkSession, path: str) -> DataFrame:
+def skipped_line_numbers(spark: SparkSession, path: str, by_folder: bool = False) -> DataFrame:
     """``(file, line, skip_reason, value)`` of the skipped lines of a collection; lines count from 1, blank ones too.
 
     A file is read in splits, whose lines have consecutive ids. The numbers of lines
-    per split, one row each, are summed up along their file; no line is moved.
+    per split, one row each, are summed up along their file; no line is moved. With
+    ``by_folder`` the files of a folder are one text, cut into pieces in the order of their names.
     """
     lines = read_lines(spark, path)
     splits = lines.groupBy("file", "at.block").agg(F.min("at.id").alias("first"), F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    text = F.regexp_extract("file", "^(.*)/", 1) if by_folder else F.col("file")
+    earlier = Window.partitionBy(text).orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
     skipped = skipped_lines(parse_lines(lines)).select("file", "at.block", "at.id", "skip_reason", "value")
     return skipped.join(splits, ["file", "block"]).select("file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line"), "skip_reason", "value")

@@ -428,3 +428,21 @@ def test_references_are_decoded_alike_by_both_ways(spark):
     assert all(r.new == r.old for r in found)
     plan = spark.createDataFrame(rows, "text string").select(entities.decode_entities(text))._jdf.queryExecution().optimizedPlan().toString()
     assert "aggregate(" in plan  # whole texts, not pieces
+
+
+def test_line_numbers_run_through_the_files_of_a_folder(spark, tmp_path):
+    rng, want = random.Random(6), []
+    for part in ("part=0", "part=1"):
+        (tmp_path / part).mkdir()
+        line = 0
+        for name in ("part-00000-x", "part-00001-x", "part-00010-x"):
+            lines = [rng.choice(["bad", "", "{}"]) for _ in range(200)]
+            (tmp_path / part / name).write_text("\n".join(lines) + "\n", encoding="utf-8")
+            want += [(part, line + i, text) for i, text in enumerate(lines, 1) if text]
+            line += len(lines)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        found = collection.skipped_line_numbers(spark, str(tmp_path), by_folder=True).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r.file.split("/")[-2], r.line, r.value) for r in found) == sorted(want)
