@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pagemill.config import CrawlConfig
 from pagemill.functions import entities
-from pagemill.functions.text import has_words, word_count
+from pagemill.functions.text import SPACE, has_words, word_count
 from pagemill.operators import admit, enrich, language, upsert
 from pagemill.operators.language import detect_language, train_profile
 from pagemill.plans import contract, extractors, quality, report
@@ -446,3 +446,13 @@ def test_line_numbers_run_through_the_files_of_a_folder(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert sorted((r.file.split("/")[-2], r.line, r.value) for r in found) == sorted(want)
+
+
+def test_prices_start_with_one_look(spark):
+    rng = random.Random(10)
+    parts = ["$", "\u20ac", "usd", "Eur", "gBP", "eu", "r", " ", "\u3000", "\n", "5", "\u0665", "x"]
+    rows = [("".join(rng.choices(parts, k=rng.randrange(8))),) for _ in range(500)]
+    plain = rf"(?i)(?:[$£€¥₹]|USD|EUR|GBP)[{SPACE}]*\p{{Nd}}"
+    found = spark.createDataFrame(rows, "body string").select(F.col("body").rlike(plain), F.col("body").rlike(enrich.PRICE)).collect()
+    assert all(a == b for a, b in found) and len({a for a, _ in found}) == 2
+    assert enrich.PRICE.startswith("(?=")
