@@ -13,9 +13,10 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from pagemill.catalog import inputs, queries
 from pagemill.config import CrawlConfig
 from pagemill.functions import entities
-from pagemill.functions.text import SPACE, has_words, word_count
+from pagemill.functions.text import SPACE, has_words, strip, word_count
 from pagemill.operators import admit, enrich, language, upsert
 from pagemill.operators.language import detect_language, train_profile
 from pagemill.plans import contract, extractors, quality, report
@@ -456,3 +457,32 @@ def test_prices_start_with_one_look(spark):
     found = spark.createDataFrame(rows, "body string").select(F.col("body").rlike(plain), F.col("body").rlike(enrich.PRICE)).collect()
     assert all(a == b for a, b in found) and len({a for a, _ in found}) == 2
     assert enrich.PRICE.startswith("(?=")
+
+
+def test_words_and_ends_are_told_by_no_negated_list(spark):
+    every = [chr(c) for c in range(1, 0x11000) if not 0xD800 <= c < 0xE000] + ["\U0001f600", "\U0010ffff"]
+    rng = random.Random(11)
+    spaces = [c for c in every if c.isspace()]
+    rows = [(t,) for c in every for t in (c, f"{c}a{c}b{c}")] + [("".join(rng.choices([*spaces, *"ab{}"], k=rng.randrange(30))),) for _ in range(500)]
+    found = spark.createDataFrame([*rows, ("",), (None,)], "t string").select("t", word_count(F.col("t")).alias("words"), strip(F.col("t")).alias("bare"))
+    for r in found.collect():
+        assert (r.words, r.bare) == ((None, None) if r.t is None else (len(r.t.split()), r.t.strip())), ascii(r.t)
+    # Beside other lists a negated one makes threads wait for each other, and a look behind at every character costs more than the parsing of a line.
+    for column in (word_count(F.col("t")), strip(F.col("t"))):
+        plan = spark.range(1).select(F.col("id").cast("string").alias("t")).select(column)._jdf.queryExecution().analyzed().toString()
+        assert "[^" not in plan and "(?<!" not in plan
+
+
+def test_rows_that_are_saved_and_merged_are_made_once(spark, tmp_path, monkeypatch):
+    made, build = spark.sparkContext.accumulator(0), inputs.collection
+
+    def seen(text):
+        made.add(1)
+        return text
+
+    spark.createDataFrame([(i, f"Words of text {i} " * 8, ("en", "fr")[i % 2], "src", 1) for i in range(20)], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    counted = F.udf(seen, "string").asNondeterministic()
+    monkeypatch.setattr(inputs, "collection", lambda spark, sf: build(spark, sf).withColumn("body_text", counted("body_text")))
+    rows = queries.collection_upsert(spark, str(tmp_path)).collect()
+    assert len(rows) == 20 and sum(r.title == "new" for r in rows) == 10
+    assert made.value == 20
