@@ -466,7 +466,7 @@ def test_words_and_ends_are_told_by_no_negated_list(spark):
     found = spark.createDataFrame([*rows, ("",), (None,)], "t string").select("t", word_count(F.col("t")).alias("words"), strip(F.col("t")).alias("bare"))
     for r in found.collect():
         assert (r.words, r.bare) == ((None, None) if r.t is None else (len(r.t.split()), r.t.strip())), ascii(r.t)
-    # Beside other lists a negated one makes threads wait for each other, and a look behind at every character costs more than the parsing of a line.
+    # In one job with other patterns a negated list is slow, and a look behind at every character costs more than the parsing of a line.
     for column in (word_count(F.col("t")), strip(F.col("t"))):
         plan = spark.range(1).select(F.col("id").cast("string").alias("t")).select(column)._jdf.queryExecution().analyzed().toString()
         assert "[^" not in plan and "(?<!" not in plan
